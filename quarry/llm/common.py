@@ -84,8 +84,8 @@ def byte_table(separators: Iterable[int]) -> np.ndarray:
 
 #: Words are what white space separates.
 SPACE_WORDS = byte_table([0x20, *range(0x09, 0x0E)])
-#: Words are letters, digits and all characters beyond ASCII.
-ALNUM_WORDS = byte_table([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
+#: Words are letters, digits and all characters beyond ASCII; A-Z count, as they are hashed as a-z.
+ALNUM_WORDS = byte_table([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 

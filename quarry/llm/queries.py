@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP9_SQL, op9_fm_index
 from .near_dedup import OP8_SQL, op8_minhash_bayes
 
 
 def queries() -> dict:
-    return {"op8_minhash_bayes": op8_minhash_bayes}
+    return {"op8_minhash_bayes": op8_minhash_bayes, "op9_fm_index": op9_fm_index}
 
 
 def oracle_sql() -> dict:
-    return {"op8_minhash_bayes": OP8_SQL}
+    return {"op8_minhash_bayes": OP8_SQL, "op9_fm_index": OP9_SQL}
