@@ -167,7 +167,7 @@ def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, Chunk]]:
+def chunks(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, Chunk]]:
     """Slices of the batches with at most so many bytes of text, or with one row."""
     for batch in batches:
         if not batch.num_rows:

@@ -10,9 +10,13 @@ Steps, each written to the shared folder:
    bucket of m nodes makes m - 1 pairs. Bands come in three groups; after each
    group the confirmed links are contracted to components, and buckets that lie
    in a single component are done, since further links in them change nothing.
-3. Buckets that still hold several components are compared fully, in blocks of
-   bounded size, skipping pairs within a component. Only pairs that survive the
-   pruning leave a block. So no candidate is lost to the hubs or to a cap.
+3. Buckets that still hold several components are compared fully, skipping
+   pairs within a component and pairs that shared an earlier band. Of buckets up
+   to ``small`` nodes the pairs that survive the pruning go on to verification.
+   Larger buckets are dealt as pairs of blocks of about ``block`` nodes with their
+   texts; a task prunes and confirms within its two blocks and returns only links
+   that join components. So no candidate is lost to the hubs or to a cap, and no
+   step returns the pairs of a group.
 4. Verification reads the signature in batches. With m of n values equal, the
    similarity has the posterior Beta(m + 1, n - m + 1); a pair is pruned as soon
    as the posterior chance of reaching the threshold is below ``miss``.
@@ -162,21 +166,98 @@ def _confirmer(n: int, percent: int):
     return run
 
 
-def _blocks(size: int, rules: list[tuple[int, int]]):
+def _survivors(sig_u: np.ndarray, sig_v: np.ndarray, allowed: np.ndarray, band: int, rows: int, rules: list[tuple[int, int]]) -> np.ndarray:
+    """Which allowed pairs (i, j) first share this band and are not pruned."""
+    out = np.zeros(allowed.shape, dtype=bool)
+    for i in range(len(sig_u)):
+        js = np.flatnonzero(allowed[i])
+        if len(js) and band:
+            earlier = (sig_v[js, : band * rows] == sig_u[i, : band * rows]).reshape(len(js), band, rows).all(axis=2).any(axis=1)
+            js = js[~earlier]
+        if len(js):
+            mine = np.broadcast_to(sig_u[i], (len(js), sig_u.shape[1]))
+            out[i, js[_prune_rows(mine, sig_v[js], rules)]] = True
+    return out
+
+
+def _sides(key: tuple[pa.Scalar, ...], t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    _, x, y = (k.as_py() for k in key)
+    node, comp, block = (np.asarray(t.column(c)) for c in ("node", "comp", "block"))
+    left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+    allowed = comp[left][:, None] != comp[right][None, :]
+    if x == y:
+        allowed &= node[left][:, None] < node[right][None, :]
+    return node, comp, left, right, allowed
+
+
+def _links(u: np.ndarray, v: np.ndarray) -> pa.Table:
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def _small_blocks(size: int, rows: int, rules: list[tuple[int, int]]):
+    """The candidates of a bucket of bounded size that no batch prunes."""
+
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        _, x, y = (k.as_py() for k in key)
-        node, comp, block = (np.asarray(t.column(c)) for c in ("node", "comp", "block"))
+        node, _, left, right, allowed = _sides(key, t)
         sig = unpack(t.column("sig"), np.uint32, size)
-        left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+        i, j = np.nonzero(_survivors(sig[left], sig[right], allowed, t.column("band")[0].as_py(), rows, rules))
+        return _links(node[left[i]], node[right[j]])
+
+    return run
+
+
+def _both(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """For each pair of sets the size of their intersection."""
+    a, b = (np.concatenate(x) for x in (left, right))
+    shared = np.intersect1d(a, b)
+    of = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right)]
+    out = np.zeros((len(left), len(right)), dtype=np.float64)
+    at = [np.searchsorted(shared, x) for x in (a, b)]
+    on = [np.append(shared, U64(0))[p] == x for p, x in zip(at, (a, b), strict=True)]
+    on = [o & (p < len(shared)) for o, p in zip(on, at, strict=True)]
+    for c in range(0, len(shared), 4096):  # a product of 0/1 matrices, some columns at a time
+        m = []
+        for k, sets in enumerate((left, right)):
+            keep = on[k] & (at[k] >= c) & (at[k] < c + 4096)
+            x = np.zeros((len(sets), min(4096, len(shared) - c)), dtype=np.float32)
+            x[of[k][keep], at[k][keep] - c] = 1
+            m.append(x)
+        out += m[0] @ m[1].T
+    return out
+
+
+def _large_blocks(size: int, rows: int, rules: list[tuple[int, int]], n: int, percent: int):
+    """The confirmed links between two blocks of a large bucket, as few as join what they join."""
+
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        node, comp, left, right, allowed = _sides(key, t)
+        sig = unpack(t.column("sig"), np.uint32, size)
+        alive = _survivors(sig[left], sig[right], allowed, t.column("band")[0].as_py(), rows, rules)
+        ls, rs = np.flatnonzero(alive.any(axis=1)), np.flatnonzero(alive.any(axis=0))
+        if not len(ls):
+            return _links(node[:0], node[:0])
+        texts = t.column("text")
+        used = np.union1d(left[ls], right[rs])
+        sets = dict(zip(used.tolist(), shingle_sets(Chunk(texts.take(pa.array(used))), n), strict=True))
+        x, y = [sets[i] for i in left[ls].tolist()], [sets[i] for i in right[rs].tolist()]
+        both = _both(x, y)
+        total = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :]
+        i, j = np.nonzero(alive[np.ix_(ls, rs)] & (100 * both >= percent * (total - both)))
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = c = root.get(up, up)
+            return c
+
         us, vs = [], []
-        for i in left:
-            js = right[(comp[right] != comp[i]) & ((node[right] > node[i]) | (x != y))]
-            if len(js):
-                js = js[_prune_rows(np.broadcast_to(sig[i], (len(js), size)), sig[js], rules)]
-                us.append(np.full(len(js), node[i]))
-                vs.append(node[js])
-        u, v = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (us, vs))
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+        for p, q in zip(left[ls[i]].tolist(), right[rs[j]].tolist(), strict=True):
+            a, b = find(int(comp[p])), find(int(comp[q]))
+            if a != b:
+                root[a] = b
+                us.append(int(node[p]))
+                vs.append(int(node[q]))
+        return _links(np.array(us, np.int64), np.array(vs, np.int64))
 
     return run
 
@@ -193,7 +274,8 @@ def near_duplicates(
     rows: int = 5,
     batch: int = 30,
     miss: float = 1e-6,
-    block: int = 256,
+    block: int = 1024,
+    small: int = 64,
 ) -> DataFrame:
     """Return doc_id, n_shingles, component_id (the smallest id reachable) and kept, one row per row of docs.
 
@@ -241,15 +323,26 @@ def near_duplicates(
     state = members.join(comps, "node", "left").select("band", "key", "node", "n", F.coalesce("comp", "node").alias("comp"))
     mixed = state.groupBy("band", "key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("band", "key")
     left = work.write(state.join(mixed, ["band", "key"], "left_semi"), "left")
-    if not left.isEmpty():
+    more = []
+    few = left.where(F.col("n") <= small).withColumns({"block": F.lit(0), "x": F.lit(0), "y": F.lit(0)})
+    few = few.join(sigs.withColumnRenamed("doc_id", "node"), "node")
+    pairs = few.groupBy("key", "x", "y").applyInArrow(_small_blocks(size, rows, rules), "u long, v long")
+    pairs = work.write(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "rest")
+    if not pairs.isEmpty():
+        more.append(confirmed(pairs, True, "rest"))
+    many = left.where(F.col("n") > small)
+    if not many.isEmpty():
         of = F.ceil(F.col("n") / block).cast("int")
-        spread = left.withColumn("of", of).withColumn("block", F.pmod(F.xxhash64("node", "band"), F.col("of")).cast("int"))
+        spread = many.withColumn("of", of).withColumn("block", F.pmod(F.xxhash64("node", "band"), F.col("of")).cast("int"))
         spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
-        spread = spread.select("key", "node", "comp", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-        spread = spread.join(sigs.withColumnRenamed("doc_id", "node"), "node")
-        pairs = spread.groupBy("key", "x", "y").applyInArrow(_blocks(size, rules), "u long, v long")
-        pairs = work.write(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "rest")
-        links = links.union(confirmed(pairs, True, "rest"))
+        spread = spread.select("band", "key", "node", "comp", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+        for side in (sigs, texts):
+            spread = spread.join(side.withColumnRenamed("doc_id", "node"), "node")
+        found = spread.groupBy("key", "x", "y").applyInArrow(_large_blocks(size, rows, rules, shingle, percent), "u long, v long")
+        more.append(work.write(found, "links-many"))
+    if more:
+        for found in more:
+            links = links.union(found)
         comps = connected_components(spark, links, work, "last")
     comps = work.write(
         classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.col("n_shingles").alias("n"), F.coalesce("comp", "rep").alias("comp")),
