@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from .decontaminate import OP9_SQL, op9_fm_index
 from .near_dedup import OP8_SQL, op8_minhash_bayes
+from .repetition import op2_suffix_repetition
 from .substring_dedup import OP6_SQL, op6_prefix_doubling
 
 
 def queries() -> dict:
-    return {"op6_prefix_doubling": op6_prefix_doubling, "op8_minhash_bayes": op8_minhash_bayes, "op9_fm_index": op9_fm_index}
+    return {
+        "op2_suffix_repetition": op2_suffix_repetition,
+        "op6_prefix_doubling": op6_prefix_doubling,
+        "op8_minhash_bayes": op8_minhash_bayes,
+        "op9_fm_index": op9_fm_index,
+    }
 
 
 def oracle_sql() -> dict:
