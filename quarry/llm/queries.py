@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .decontaminate import OP9_SQL, op9_fm_index
+from .html_text import op10_crf_main_text
+from .language import op3_subword_softmax
 from .near_dedup import OP8_SQL, op8_minhash_bayes
 from .repetition import op2_suffix_repetition
 from .substring_dedup import OP6_SQL, op6_prefix_doubling
@@ -11,9 +13,11 @@ from .substring_dedup import OP6_SQL, op6_prefix_doubling
 def queries() -> dict:
     return {
         "op2_suffix_repetition": op2_suffix_repetition,
+        "op3_subword_softmax": op3_subword_softmax,
         "op6_prefix_doubling": op6_prefix_doubling,
         "op8_minhash_bayes": op8_minhash_bayes,
         "op9_fm_index": op9_fm_index,
+        "op10_crf_main_text": op10_crf_main_text,
     }
 
 
