@@ -5,15 +5,19 @@ from __future__ import annotations
 from .decontaminate import OP9_SQL, op9_fm_index
 from .html_text import op10_crf_main_text
 from .language import op3_subword_softmax
+from .mixing import op5_soft_membership_mix
 from .near_dedup import OP8_SQL, op8_minhash_bayes
 from .repetition import op2_suffix_repetition
 from .substring_dedup import OP6_SQL, op6_prefix_doubling
+from .surrogates import op4_keyed_surrogates
 
 
 def queries() -> dict:
     return {
         "op2_suffix_repetition": op2_suffix_repetition,
         "op3_subword_softmax": op3_subword_softmax,
+        "op4_keyed_surrogates": op4_keyed_surrogates,
+        "op5_soft_membership_mix": op5_soft_membership_mix,
         "op6_prefix_doubling": op6_prefix_doubling,
         "op8_minhash_bayes": op8_minhash_bayes,
         "op9_fm_index": op9_fm_index,
