@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, Chunk, chunks, table, tune
+from .common import LOWER, Chunk, bounded_sample, chunks, table, tune
 
 _FOLD = LOWER.copy()
 _FOLD[[b for b in range(128) if not chr(b).isalpha()]] = 0x20
@@ -169,13 +169,14 @@ def predict_language(
 ) -> DataFrame:
     """Return doc_id, lang_pred, score and rejected, one row per row of docs, learned from the rows of labelled."""
     tune(spark)
-    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.octet_length("text").between(2, sample_bytes))
+    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+    rows = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.octet_length("text").between(2, sample_bytes))
     known = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample // 20).select("lang").collect()]
-    each = [rows.where(F.col("lang") == lang).orderBy("h", "text").limit(max(20, sample // len(known))) for lang in known]
     bags = []
-    for part in each:  # each is a bounded top-n, taken without a full sort
-        got = part.select("lang", "text").mapInArrow(_bags(buckets), "lang string, rows binary, weights binary").collect()
+    for lang in known:
+        ids = bounded_sample(rows.where(F.col("lang") == lang).select("id"), F.col("id"), max(20, sample // len(known)))
+        part = rows.where(F.col("lang") == lang).join(F.broadcast(ids.distinct()), "id", "left_semi")  # ids of at most ``sample`` rows
+        got = part.select("lang", "text", "id").orderBy(F.xxhash64("id"), "id").select("lang", "text").mapInArrow(_bags(buckets), "lang string, rows binary, weights binary").collect()
         bags += [(r[0], np.frombuffer(r[1], np.uint16 if buckets <= 1 << 16 else np.uint32).astype(np.int64), np.frombuffer(r[2], np.float32)) for r in got]
     model = Model(bags, buckets, dim=dim, epochs=epochs, rate=rate, reject=reject, seed=seed) if bags else None
     shared = spark.sparkContext.broadcast(model)

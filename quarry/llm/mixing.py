@@ -1,20 +1,20 @@
 """Mixing to target weights with soft domain membership, in DataFrame functions alone.
 
-1. A labelled table gives some documents a domain. A multinomial naive Bayes
-   classifier over hashed tokens (words and groups of symbols) learns from a
-   bounded sample of it, ``sample`` rows drawn by a hash of the id; the sample's
+1. A labelled table gives some documents a domain. A naive Bayes classifier over
+   the presence of hashed tokens (words and groups of symbols) learns, from those
+   that tell domains apart significantly, from a bounded sample of it, ``sample`` rows drawn by a hash of the id; the sample's
    ids are broadcast, so texts aren't shuffled. Training returns ``buckets`` counts
    per domain to the driver, whatever the size of the corpus.
-2. Every document gets its token count and the posterior of each domain. Log
-   likelihoods are divided by tokens / ``evidence`` for longer texts, as tokens of
-   a text aren't independent. Each document adds its tokens to a domain in the
-   proportion of the posterior.
+2. Every document gets its token count and the posterior of each domain, and adds
+   its tokens to a domain in the proportion of the posterior.
 3. Rates r >= 0 per document solve the least-squares problem
    |E[tokens by domain](r) - targets|^2 + ridge * |r - 1|^2 by projected gradient:
    r <- max(0, r - step * (a . W residual + ridge * (r - 1))). The residual has one
-   number per domain and is all that a round brings to the driver; W, the inverse
-   of the second moment of a, makes the step independent of the corpus. Rounds
-   end when every domain is within ``tolerance`` of its target share, or after
+   number per domain and is, with the second moments of a over the documents whose
+   rate isn't zero, all that a round brings to the driver; W is the inverse of those
+   moments, which makes the step independent of the corpus. A step that gains too
+   little is taken back for one with the moments over all documents, which can't
+   enlarge the residual. Rounds end when every domain is within ``tolerance`` of its target share, or after
    ``rounds``. If a target can't be reached (a domain without tokens) the result
    is the least-squares fit.
 4. ``copies`` rounds the rate up or down by a keyed hash of the id, so that the
@@ -33,9 +33,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Work, table
+from .common import Work, bounded_sample, table
 
 TOKEN = r"[\p{L}\p{N}]+|[#*$%&|<>]+"
+SHAPES = 16
 DOMAINS = ("good", "poor", "toxic")
 RESULT = ("n_tokens", "rate", "copies")
 TARGETS = {"good": 0.85, "poor": 0.1, "toxic": 0.05}
@@ -46,7 +47,13 @@ def label_domain(quality: Column, toxic: Column) -> Column:
 
 
 def _buckets(text: Column, buckets: int) -> Column:
-    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 0), lambda t: F.pmod(F.xxhash64(t), F.lit(buckets)).cast("int"))
+    """The distinct buckets of a text's tokens, and two for its shape: repetition and capitals."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 0)
+    number = F.transform(words, lambda t: F.pmod(F.xxhash64(t), F.lit(buckets - SHAPES)).cast("int"))
+    repeated = F.floor(F.least(F.lit(7.0), F.size(words) / F.greatest(F.lit(1), F.size(F.array_distinct(number))))).cast("int")
+    capitals = F.floor(F.lit(7.0) * F.length(F.regexp_replace(text, r"[^A-Z]+", "")) / F.greatest(F.lit(1), F.length(text))).cast("int")
+    shape = F.array(F.lit(buckets - SHAPES) + repeated, F.lit(buckets - SHAPES + 8) + capitals)
+    return F.concat(F.array_distinct(number), shape)
 
 
 def _numbers(values: np.ndarray) -> Column:
@@ -55,25 +62,34 @@ def _numbers(values: np.ndarray) -> Column:
 
 
 def domain_posteriors(
-    spark: SparkSession, docs: DataFrame, labels: DataFrame, domains: tuple[str, ...], *, sample: int = 20_000, buckets: int = 4096, evidence: float = 60.0, smoothing: float = 0.5
+    spark: SparkSession, docs: DataFrame, labels: DataFrame, domains: tuple[str, ...], *, sample: int = 20_000, buckets: int = 1 << 14, telling: float = 5.0, least_odds: float = 1.0, evidence: float = 300.0, smoothing: float = 0.5
 ) -> DataFrame:
     """docs (row, doc_id, text) with n_tokens and p_0, p_1, ... in the order of domains; labels has doc_id and domain."""
-    chosen = labels.where(F.col("domain").isin(*domains) & F.col("doc_id").isNotNull()).select("doc_id", "domain")
-    chosen = chosen.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "domain").limit(sample)
+    named = labels.where(F.col("domain").isin(*domains) & F.col("doc_id").isNotNull()).select("doc_id", "domain")
+    chosen = bounded_sample(named, F.col("doc_id"), sample).select("doc_id", "domain")
     used = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # of at most ``sample`` rows
     counts = used.select("domain", F.explode(_buckets(F.col("text"), buckets)).alias("b")).groupBy("domain", "b").count().collect()
-    sizes = dict(used.groupBy("domain").count().collect())
-    n = np.full((len(domains), buckets), smoothing)
+    sizes = np.zeros(len(domains))
+    for domain, c in used.groupBy("domain").count().collect():
+        sizes[domains.index(domain)] = c
+    n = np.zeros((len(domains), buckets))
     for domain, b, c in counts:
-        n[domains.index(domain), b] += c
-    weight = np.log(n / n.sum(axis=1, keepdims=True))
-    weight -= weight.mean(axis=0)  # the same for all domains, and small
-    prior = np.log(np.array([sizes.get(d, 0) + 1.0 for d in domains]))
+        n[domains.index(domain), b] = c
+    share = (n + smoothing) / (sizes[:, None] + 2 * smoothing)
+    rest, others = n.sum(axis=0) - n, np.maximum(sizes.sum() - sizes, 1)[:, None]
+    odds = np.log(share) - np.log((rest + smoothing) / (others + 2 * smoothing))
+    weight = np.log(share)
+    weight -= weight.mean(axis=0)
+    # tokens that tell no domain from the others add only noise
+    sure = np.abs(odds) >= telling * np.sqrt(1 / (n + smoothing) + 1 / (rest + smoothing))
+    weight[:, ~(sure & (np.abs(odds) >= least_odds)).any(axis=0)] = 0
+    prior = np.log(sizes + 1)
     tables = [_numbers(w) for w in weight]
     scored = docs.withColumn("b", F.coalesce(_buckets(F.col("text"), buckets), F.array().cast("array<int>")))
     zero = F.struct(*(F.lit(0.0).alias(f"s{k}") for k in range(len(domains))))
     total = F.aggregate("b", zero, lambda a, b: F.struct(*((a[f"s{k}"] + F.get(tables[k], b)).alias(f"s{k}") for k in range(len(domains)))))
-    scored = scored.withColumn("n_tokens", F.size("b").cast("long")).withColumn("s", total).drop("b", "text")
+    scored = scored.withColumn("n_tokens", F.coalesce(F.regexp_count("text", F.lit(TOKEN)), F.lit(0)).cast("long")).withColumn("s", total).drop("b", "text")
+    # a long text has any token sooner or later: its evidence counts as that of ``evidence`` tokens
     scale = F.greatest(F.lit(1.0), F.col("n_tokens") / evidence)
     for k in range(len(domains)):
         scored = scored.withColumn(f"z{k}", F.col(f"s.s{k}") / scale + float(prior[k]))
@@ -84,7 +100,7 @@ def domain_posteriors(
     return scored.select("row", "doc_id", "n_tokens", *((F.col(f"z{k}") / all_).alias(f"p_{k}") for k in range(len(domains))))
 
 
-def fit_rates(work: Work, posteriors: DataFrame, targets: np.ndarray, *, rounds: int = 40, ridge: float = 1e-3, tolerance: float = 1e-3, every: int = 10) -> DataFrame:
+def fit_rates(work: Work, posteriors: DataFrame, targets: np.ndarray, *, rounds: int = 60, ridge: float = 1e-4, tolerance: float = 1e-3, every: int = 10) -> DataFrame:
     """posteriors with a column rate; targets are shares of the total of tokens."""
     k = len(targets)
     p = [F.col(f"p_{i}") for i in range(k)]
@@ -95,21 +111,41 @@ def fit_rates(work: Work, posteriors: DataFrame, targets: np.ndarray, *, rounds:
     count, mean = first
     a = [F.col(f"a_{i}") for i in range(k)]
     state = posteriors.select("*", *((tokens * p[i] / mean).alias(f"a_{i}") for i in range(k)), F.lit(1.0).alias("rate"))
-    moments = state.agg(*(F.sum(a[i] * a[j]) for i in range(k) for j in range(k))).first()
-    second = np.array(moments, dtype=float).reshape(k, k) / count
-    weight = np.linalg.pinv(second + 1e-9 * np.trace(second) * np.eye(k))
     goal = targets / targets.sum()
-    for t in range(rounds):
-        got = np.array(state.agg(*(F.sum(a[i] * F.col("rate")) for i in range(k))).first(), dtype=float) / count
-        if np.all(np.abs(got - goal) <= tolerance * np.maximum(goal, tolerance)):
-            break
-        step = 1.0 / (1.0 + ridge)
-        v = step * (weight @ (got - goal))
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def measure(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        free = F.col("rate") > 0
+        sums = [F.sum(a[i] * F.col("rate")) for i in range(k)] + [F.sum(F.when(free, a[i] * a[j])) for i, j in pairs]
+        got = np.array([x or 0.0 for x in df.agg(*sums).first()], dtype=float) / count
+        second = np.zeros((k, k))
+        for (i, j), x in zip(pairs, got[k:], strict=True):
+            second[i, j] = second[j, i] = x
+        return got[:k] - goal, second
+
+    def moved(df: DataFrame, v: np.ndarray) -> DataFrame:
         down = sum((a[i] * float(v[i]) for i in range(1, k)), a[0] * float(v[0]))
         # the rate appears once, so that the expression grows by one term a round
-        state = state.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") * (1 - step * ridge) + (step * ridge - down)))
-        if (t + 1) % every == 0:
-            state = work.write(state, f"rates-{t}")
+        return df.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") * (1 - step * ridge) + (step * ridge - down)))
+
+    def inverse(m: np.ndarray) -> np.ndarray:
+        return np.linalg.pinv(m + 1e-9 * max(np.trace(m), 1e-9) * np.eye(k))
+
+    step, taken, plain = 1.0 / (1.0 + ridge), 0, False
+    residual, second = measure(state)
+    metric = inverse(second)  # of the objective; in it a plain step never enlarges the residual
+    for t in range(rounds):
+        if np.all(np.abs(residual) <= tolerance * np.maximum(goal, tolerance)):
+            break
+        tried = moved(state, step * ((metric if plain else inverse(second)) @ residual))
+        new, moments = measure(tried)
+        if not plain and new @ metric @ new > 0.9 * (residual @ metric @ residual):
+            plain = True
+            continue
+        plain = False
+        taken += 1
+        state = work.write(tried, f"rates-{t}") if taken % every == 0 else tried
+        residual, second = new, moments
     return state.drop(*(f"a_{i}" for i in range(k)))
 
 
