@@ -10,6 +10,7 @@ from .near_dedup import OP8_SQL, op8_minhash_bayes
 from .repetition import op2_suffix_repetition
 from .substring_dedup import OP6_SQL, op6_prefix_doubling
 from .surrogates import op4_keyed_surrogates
+from .warc import OP7_SQL, op7_warc_derivatives
 
 
 def queries() -> dict:
@@ -19,6 +20,7 @@ def queries() -> dict:
         "op4_keyed_surrogates": op4_keyed_surrogates,
         "op5_soft_membership_mix": op5_soft_membership_mix,
         "op6_prefix_doubling": op6_prefix_doubling,
+        "op7_warc_derivatives": op7_warc_derivatives,
         "op8_minhash_bayes": op8_minhash_bayes,
         "op9_fm_index": op9_fm_index,
         "op10_crf_main_text": op10_crf_main_text,
@@ -26,4 +28,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op6_prefix_doubling": OP6_SQL, "op8_minhash_bayes": OP8_SQL, "op9_fm_index": OP9_SQL}
+    return {"op6_prefix_doubling": OP6_SQL, "op7_warc_derivatives": OP7_SQL, "op8_minhash_bayes": OP8_SQL, "op9_fm_index": OP9_SQL}
