@@ -62,9 +62,10 @@ PATTERNS = {
     "phone": r"(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\p{L}\p{N}])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\p{L}\p{N}-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-])",
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\p{L}\p{N}-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\p{L}\p{N}])",
-    "person": r"(?<![\p{L}\p{N}])(?:" + _TITLE + r" (?:" + _NAME + r" ?+(?! )){1,2}(?<! )|" + _GIVEN + " " + _NAME + ")",
+    "person": r"(?<![\p{L}\p{N}])(?=[\p{Lu}г])(?:" + _TITLE + r" (?:" + _NAME + r" ?+(?! )){1,2}(?<! )|" + _GIVEN + " " + _NAME + ")",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Inside a word one look behind settles that nothing starts there.
+ANY = r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 _PRIVATE = r"^(?:10\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.)"
 
 
@@ -236,7 +237,8 @@ def replace_entities(
         entities = work.write(drawn.select("kind", "normal", (F.col("attempt") + F.col("clash").cast("int")).alias("attempt")), f"entities-{k}")
     spelled = found.join(drawn.select("kind", "normal", "surrogate"), ["kind", "normal"]).withColumn("new", _spelled(F.col("kind"), F.col("m"), F.col("surrogate")))
     by_row = spelled.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("m", "new"))).alias("names"), F.count_distinct("kind", "normal").alias("n_distinct"))
-    out = docs.join(work.write(by_row, "by-row"), "row", "left")
+    # the table of replacements grows with the corpus: merged, never broadcast
+    out = docs.join(work.write(by_row, "by-row").hint("merge"), "row", "left")
     matches, pieces = F.regexp_extract_all("text", F.lit(ANY), 0), F.split("text", ANY, -1)
     has = F.col("names").isNotNull()
     out = out.withColumn("m", F.when(has, matches)).withColumn("p", F.when(has, pieces))
