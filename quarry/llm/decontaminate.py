@@ -208,13 +208,14 @@ def _scan(shared):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    *batch.columns[2:],
                     pa.array(n_words.astype(np.int64)),
                     pa.array(n_hit.astype(np.int64)),
                     spans(a - first[of[a]], b + 1 - first[of[b]]),
                     spans(starts[a] - chunk.offs[of[a]], ends[b] - chunk.offs[of[b]]),
                     pa.ListArray.from_arrays(pa.array(n_items), pa.array(pairs[:, 1])),
                 ],
-                ["doc_id", "n_words", "n_hit", "word_spans", "byte_spans", "items"],
+                ["doc_id", *batch.schema.names[2:], "n_words", "n_hit", "word_spans", "byte_spans", "items"],
             )
 
     return run
@@ -240,14 +241,16 @@ def contamination(
     text_col: str = "text",
     width: int = 8,
     block_bytes: int = 8 << 20,
+    columns: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Return doc_id, n_words, n_hit, word_spans, byte_spans (merged, of the whole text) and items, one row per row of docs."""
+    """Return doc_id, the named columns of docs, n_words, n_hit, word_spans, byte_spans (merged, of the whole text) and items, one row per row of docs."""
     tune(spark)
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *columns)
+    carried = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in columns)
     items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, ceil(total / block_bytes))
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, word_spans {SPAN}, byte_spans {SPAN}, items array<long>"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {carried}n_words long, n_hit long, word_spans {SPAN}, byte_spans {SPAN}, items array<long>"
     parts = []
     for k in range(n_blocks):
         block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k) if n_blocks > 1 else items
@@ -259,13 +262,14 @@ def contamination(
     for p in parts[1:]:
         found = found.union(p)
     found = found.groupBy("doc_id").agg(
+        *(F.first(c).alias(c) for c in columns),
         F.max("n_words").alias("n_words"),
         _merge(F.flatten(F.collect_list("word_spans"))).alias("word_spans"),
         _merge(F.flatten(F.collect_list("byte_spans"))).alias("byte_spans"),
         F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
     )
     n_hit = F.aggregate("word_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), "word_spans", "byte_spans", "items")
+    return found.select("doc_id", *columns, "n_words", n_hit.alias("n_hit"), "word_spans", "byte_spans", "items")
 
 
 def without_spans(text: Column, spans: Column) -> Column:

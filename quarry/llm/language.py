@@ -145,7 +145,8 @@ def _predict(shared, buckets: int):
                 score = np.where(lettered, p.max(axis=1), 0.0)
                 lang[~lettered] = "und"
                 rejected = ~lettered | (score < m.threshold)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], ["doc_id", "lang_pred", "score", "rejected"])
+            found = [pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *found], ["doc_id", *batch.schema.names[2:], "lang_pred", "score", "rejected"])
 
     return run
 
@@ -166,8 +167,9 @@ def predict_language(
     rate: float = 0.5,
     reject: float = 0.001,
     seed: int = 11,
+    columns: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Return doc_id, lang_pred, score and rejected, one row per row of docs, learned from the rows of labelled."""
+    """Return doc_id, the named columns of docs, lang_pred, score and rejected, one row per row of docs, learned from the rows of labelled."""
     tune(spark)
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
     rows = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.octet_length("text").between(2, sample_bytes))
@@ -180,8 +182,9 @@ def predict_language(
         bags += [(r[0], np.frombuffer(r[1], np.uint16 if buckets <= 1 << 16 else np.uint32).astype(np.int64), np.frombuffer(r[2], np.float32)) for r in got]
     model = Model(bags, buckets, dim=dim, epochs=epochs, rate=rate, reject=reject, seed=seed) if bags else None
     shared = spark.sparkContext.broadcast(model)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return docs.mapInArrow(_predict(shared, buckets), "doc_id long, lang_pred string, score double, rejected boolean")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"), *columns)
+    carried = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in columns)
+    return docs.mapInArrow(_predict(shared, buckets), f"doc_id long, {carried}lang_pred string, score double, rejected boolean")
 
 
 def held_out(id_col: Column) -> Column:

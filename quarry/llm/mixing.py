@@ -37,6 +37,7 @@ from .common import Work, bounded_sample, table
 
 TOKEN = r"[\p{L}\p{N}]+|[#*$%&|<>]+"
 SHAPES = 16
+RIDGE = 1e-4
 DOMAINS = ("good", "poor", "toxic")
 RESULT = ("n_tokens", "rate", "copies")
 TARGETS = {"good": 0.85, "poor": 0.1, "toxic": 0.05}
@@ -100,17 +101,17 @@ def domain_posteriors(
     return scored.select("row", "doc_id", "n_tokens", *((F.col(f"z{k}") / all_).alias(f"p_{k}") for k in range(len(domains))))
 
 
-def fit_rates(work: Work, posteriors: DataFrame, targets: np.ndarray, *, rounds: int = 60, ridge: float = 1e-4, tolerance: float = 1e-3, every: int = 10) -> DataFrame:
-    """posteriors with a column rate; targets are shares of the total of tokens."""
+def fit_steps(work: Work, posteriors: DataFrame, targets: np.ndarray, *, rounds: int = 60, ridge: float = RIDGE, tolerance: float = 1e-3, every: int = 10) -> tuple[float, list[np.ndarray]]:
+    """The mean number of tokens and the steps that lead from rates of 1 to the fit; targets are shares of the total."""
     k = len(targets)
     p = [F.col(f"p_{i}") for i in range(k)]
     tokens = F.col("n_tokens").cast("double")
     first = posteriors.where("n_tokens > 0").agg(F.count("*"), F.avg(tokens)).first()
     if not first[0]:
-        return posteriors.withColumn("rate", F.lit(1.0))
+        return 1.0, []
     count, mean = first
     a = [F.col(f"a_{i}") for i in range(k)]
-    state = posteriors.select("*", *((tokens * p[i] / mean).alias(f"a_{i}") for i in range(k)), F.lit(1.0).alias("rate"))
+    state = posteriors.select(*((tokens * p[i] / mean).alias(f"a_{i}") for i in range(k)), F.lit(1.0).alias("rate"))
     goal = targets / targets.sum()
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
 
@@ -131,22 +132,38 @@ def fit_rates(work: Work, posteriors: DataFrame, targets: np.ndarray, *, rounds:
     def inverse(m: np.ndarray) -> np.ndarray:
         return np.linalg.pinv(m + 1e-9 * max(np.trace(m), 1e-9) * np.eye(k))
 
-    step, taken, plain = 1.0 / (1.0 + ridge), 0, False
+    step, taken, plain, steps = 1.0 / (1.0 + ridge), 0, False, []
     residual, second = measure(state)
     metric = inverse(second)  # of the objective; in it a plain step never enlarges the residual
     for t in range(rounds):
         if np.all(np.abs(residual) <= tolerance * np.maximum(goal, tolerance)):
             break
-        tried = moved(state, step * ((metric if plain else inverse(second)) @ residual))
+        v = step * ((metric if plain else inverse(second)) @ residual)
+        tried = moved(state, v)
         new, moments = measure(tried)
         if not plain and new @ metric @ new > 0.9 * (residual @ metric @ residual):
             plain = True
             continue
         plain = False
         taken += 1
+        steps.append(v)
         state = work.write(tried, f"rates-{t}") if taken % every == 0 else tried
         residual, second = new, moments
-    return state.drop(*(f"a_{i}" for i in range(k)))
+    return mean, steps
+
+
+def rate(mean: float, steps: list[np.ndarray], k: int, ridge: float = RIDGE) -> Column:
+    """The rate of a document with n_tokens and p_0, p_1, ... after the steps."""
+    if not steps:
+        return F.lit(1.0)
+    step = 1.0 / (1.0 + ridge)
+    a = [F.col("n_tokens").cast("double") * F.col(f"p_{i}") / mean for i in range(k)]
+
+    def moved(r: Column, v: Column) -> Column:
+        down = sum((a[i] * F.get(v, F.lit(i)) for i in range(1, k)), a[0] * F.get(v, F.lit(0)))
+        return F.greatest(F.lit(0.0), r * (1 - step * ridge) + (step * ridge - down))
+
+    return F.aggregate(F.array(*(F.array(*(F.lit(float(x)) for x in v)) for v in steps)), F.lit(1.0), moved)
 
 
 def mix(
@@ -170,14 +187,14 @@ def mix(
     kept = [c for c in columns if c in docs.columns and c not in RESULT and c != "doc_id"]
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.struct(F.lit(0).alias("_"), *kept).alias("row"))
     scored = work.write(domain_posteriors(spark, base, labels.select(F.col("doc_id").cast("long"), "domain"), domains, **options), "posteriors")
-    fitted = fit_rates(work, scored, np.array([targets[d] for d in domains], dtype=float))
+    mean, steps = fit_steps(work, scored, np.array([targets[d] for d in domains], dtype=float))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(key)), F.lit(1 << 30)) / float(1 << 30)
-    return fitted.select(
+    return scored.select(
         "doc_id",
         *(F.col("row").getField(c).alias(c) for c in kept),
         "n_tokens",
         *(F.col(f"p_{i}").alias(f"p_{d}") for i, d in enumerate(domains)),
-        F.when(F.col("n_tokens") > 0, F.col("rate")).otherwise(1.0).alias("rate"),
+        F.when(F.col("n_tokens") > 0, rate(mean, steps, len(domains))).otherwise(1.0).alias("rate"),
     ).withColumn("copies", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")).cast("long"))
 
 
