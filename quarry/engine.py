@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from quarry.functions.hashing import Ring, hash_partition
 from quarry.operators import load, merkle, scans
-from quarry.operators.resolve import latest
 from quarry.operators.transactions import Transaction, transfer
 from quarry.plans.sql import Sql
 from quarry.sources.fs import scratch
@@ -62,7 +62,8 @@ class Engine:
         rows = tx.get(table, key).collect()  # one row
         now = rows[0].asDict() if rows else {self.store.catalog.get(table).keys[0]: key}
         old = now.get(column)
-        now[column] = (old if isinstance(old, (int, float)) else 0) + amount
+        total = (old if isinstance(old, (int, float)) else 0) + amount
+        now[column] = float(total) if self.store.catalog.get(table).row_type[column].dataType == DoubleType() else total
         tx.put(table, self.spark.createDataFrame([now], self.store.catalog.get(table).row_type))
         tx.commit()
 
@@ -136,5 +137,3 @@ class Engine:
     def compact(self, table: str) -> None:
         self.store.compact(table)
 
-
-__all__ = ["Engine", "latest"]

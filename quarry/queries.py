@@ -107,11 +107,11 @@ def join_left(spark, d):
     return c.join(o, c["c_custkey"] == o["o_custkey"], "left").select("c_custkey", "c_name", "o_orderkey")
 
 
-@query("SELECT n_name, count(*) AS suppliers, sum(s_acctbal) AS balance FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' GROUP BY n_name")
+@query("SELECT n_name, count(*) AS suppliers, round(sum(s_acctbal), 2) AS balance FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' GROUP BY n_name")
 def join_three_tables(spark, d):
     s, n, r = (table(spark, d, x) for x in ("supplier", "nation", "region"))
     j = s.join(n, s["s_nationkey"] == n["n_nationkey"]).join(r.where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return j.groupBy("n_name").agg(F.count("*").alias("suppliers"), F.sum("s_acctbal").alias("balance"))
+    return j.groupBy("n_name").agg(F.count("*").alias("suppliers"), F.round(F.sum("s_acctbal"), 2).alias("balance"))
 
 
 # indexes
@@ -412,11 +412,11 @@ def keys_to_salt(spark, d):
     return load.keys_to_salt(table(spark, d, "events"), "user_id", 60)
 
 
-@query("SELECT user_id::varchar AS key, count(*) AS n, sum(value) AS total FROM events GROUP BY user_id")
+@query("SELECT user_id::varchar AS key, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY user_id")
 def salted_counts(spark, d):
     e = table(spark, d, "events").select(salt(F.col("user_id"), F.col("event_id"), 8).alias("salted"), "value")
     part = e.groupBy("salted").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    return part.groupBy(unsalt(F.col("salted")).alias("key")).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    return part.groupBy(unsalt(F.col("salted")).alias("key")).agg(F.sum("n").alias("n"), F.round(F.sum("total"), 2).alias("total"))
 
 
 @query("SELECT event_id, user_id, value FROM events WHERE ('0x' || substr(sha1(user_id::varchar), 39, 2))::bigint % 128 = 17")
@@ -424,9 +424,10 @@ def partition_transfer(spark, d):
     return table(spark, d, "events").where(hash_partition(F.col("user_id"), 128) == 17).select("event_id", "user_id", "value")
 
 
-@query("SELECT count(*) AS ops, greatest(1.0, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6) AS seconds, sum(value) AS total, count(*) / greatest(1.0, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6) AS throughput FROM events")
+@query("SELECT count(*) AS ops, greatest(1.0, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6) AS seconds, round(sum(value), 2) AS total, round(count(*) / greatest(1.0, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 9) AS throughput FROM events")
 def cluster_totals(spark, d):
-    return load.totals(table(spark, d, "events"), "ts", "value")
+    out = load.totals(table(spark, d, "events"), "ts", "value")
+    return out.withColumns({"total": F.round("total", 2), "throughput": F.round("throughput", 9)})
 
 
 # statistics
@@ -487,9 +488,9 @@ def sql_index_path(spark, d):
     return sql.execute("SELECT c_custkey, c_name, c_acctbal FROM cust WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 0")
 
 
-@query("SELECT user_id, sum(value) AS balance FROM events GROUP BY user_id")
+@query("SELECT user_id, round(sum(value), 2) AS balance FROM events GROUP BY user_id")
 def balance_after_increments(spark, d):
-    return tx.balances(table(spark, d, "events"), "user_id", "value")
+    return tx.balances(table(spark, d, "events"), "user_id", "value").withColumn("balance", F.round("balance", 2))
 
 
 _TX = "t AS (SELECT event_id AS tx, event_id AS start, event_id + 40 AS done, user_id AS r, user_id % 20 AS w FROM events)"
@@ -525,8 +526,8 @@ def fetch_updates(spark, d):
 
 
 def _events_stream(spark, d) -> DataFrame:
-    # a file of a folder is the source
-    return spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d) if not d.startswith("viewfs") else spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet")
+    # the table's file, or the files of its folder, are the source
+    return spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet")
 
 
 @query("SELECT user_id AS key, event_id AS seq, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
@@ -545,14 +546,14 @@ def streaming_window_counts(spark, d):
 # more of what the SQL front takes
 
 
-@query("SELECT o_orderpriority, count(*) AS n, sum(o_totalprice) AS total, avg(o_totalprice) AS mean FROM orders GROUP BY o_orderpriority HAVING count(*) > 10")
+@query("SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY o_orderpriority HAVING count(*) > 10")
 def sql_group_having(spark, d):
     table(spark, d, "orders").createOrReplaceTempView("orders")
     return spark.sql(SQL["sql_group_having"])
 
 
-@query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, sum(l_extendedprice * (1 - l_discount)) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus")
+@query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus")
 def pricing_summary(spark, d):
     li = table(spark, d, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
-    return li.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"), F.count("*").alias("n"))
+    return li.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
 
