@@ -526,8 +526,8 @@ def fetch_updates(spark, d):
 
 
 def _events_stream(spark, d) -> DataFrame:
-    # the table's file, or the files of its folder, are the source
-    return spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet")
+    # the table's file is the source: a stream wants a folder
+    return spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
 
 
 @query("SELECT user_id AS key, event_id AS seq, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
