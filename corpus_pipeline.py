@@ -46,9 +46,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group; those without words are no group."""
-    kept = near_duplicates(spark, docs).where("kept").select("doc_id").distinct()
-    # the kept ids grow with the corpus: merged, never broadcast
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*COLUMNS)
+    copies = near_duplicates(spark, docs).where("not kept").select("doc_id").distinct()
+    # their number grows with the corpus: merged, never broadcast
+    return docs.join(copies.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

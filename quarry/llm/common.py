@@ -122,12 +122,15 @@ class Chunk:
         column = pc.fill_null(column.cast(pa.large_string()), "")
         if isinstance(column, pa.ChunkedArray):
             column = column.combine_chunks()
+        self.n = len(column)
+        if not self.n:
+            self.buf, self.offs = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+            return
         offs = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
         data = column.buffers()[2]
         whole = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-        self.buf = whole[offs[0] : offs[-1]] if len(offs) else whole[:0]
-        self.offs = offs - offs[0] if len(offs) else np.zeros(1, np.int64)
-        self.n = len(column)
+        self.buf = whole[offs[0] : offs[-1]]
+        self.offs = offs - offs[0]
 
     def words(self, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of words in buf, and the text of each."""

@@ -27,7 +27,8 @@ Chance that a link at exactly the threshold shares no band: (1 - t^rows)^bands,
 
 Edge cases: null, empty and blank texts have an empty set, are linked with
 nothing and are kept. Texts with fewer words than a shingle have one shingle of
-all their words. Repeated ids: each row is a member of its id's component. Extra
+all their words. Rows that repeat an id are one document, kept or dropped together.
+Rows without an id are linked with nothing: component_id is null, kept true. Extra
 columns are ignored. An empty table gives an empty result.
 """
 
@@ -288,7 +289,7 @@ def near_duplicates(
         docs.mapInArrow(_sketches(shingle, bands, rows), "doc_id long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>"),
         "sketch",
     )
-    classes = work.write(sketch.where("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = work.write(sketch.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     nodes = sketch.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     members = nodes.select(F.col("doc_id").alias("node"), F.posexplode("bands").alias("band", "key"))
     members = work.write(members, "members")
@@ -349,9 +350,9 @@ def near_duplicates(
         "result",
     )
     own = sketch.select("doc_id", "n_shingles", "k1", "k2")
-    same = (own["k1"] == comps["k1"]) & (own["k2"] == comps["k2"]) & (own["n_shingles"] == comps["n"])
+    same = own["doc_id"].isNotNull() & (own["k1"] == comps["k1"]) & (own["k2"] == comps["k2"]) & (own["n_shingles"] == comps["n"])
     out = own.join(comps, same, "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op8_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
