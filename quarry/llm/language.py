@@ -46,7 +46,7 @@ def _features(chunk: Chunk, buckets: int) -> Iterator[np.ndarray]:
     for n in _GRAMS:
         g = np.zeros(len(b), np.uint32)
         for j in range(n):
-            g[: len(b) - j] |= b[j:] << np.uint32(8 * j)
+            g[: max(0, len(b) - j)] |= b[j:] << np.uint32(8 * j)
         g = (g ^ np.uint32(0x3C6EF372 + n)) * np.uint32(2654435761)
         g ^= g >> np.uint32(15)
         g *= np.uint32(2246822519)
@@ -73,7 +73,7 @@ def _bags(buckets: int):
 class Model:
     """languages, one number per bucket and language (a zero row last), bias, temperature and threshold."""
 
-    def __init__(self, bags: list[tuple[str, np.ndarray, np.ndarray]], buckets: int, *, dim: int, epochs: int, rate: float, reject: float, seed: int):
+    def __init__(self, bags: list[tuple[str, np.ndarray, np.ndarray]], buckets: int, *, dim: int, epochs: int, rate: float, reject: float, seed: int, least_steps: int = 10_000):
         self.languages = sorted({lang for lang, _, _ in bags})
         rng = np.random.default_rng(seed)
         number = {lang: i for i, lang in enumerate(self.languages)}
@@ -82,6 +82,7 @@ class Model:
         emb = rng.uniform(-1 / dim, 1 / dim, (buckets + 1, dim)).astype(np.float32)
         out = np.zeros((dim, len(self.languages)), np.float32)
         bias = np.zeros(len(self.languages), np.float32)
+        epochs = max(epochs, -(-least_steps // max(1, len(used))))  # a small sample is read more often
         steps, done = epochs * len(used), 0
         for _ in range(epochs):
             for i in rng.permutation(len(used)):

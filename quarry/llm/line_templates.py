@@ -140,7 +140,9 @@ def drop_recurring_lines(
     lines = docs.select("row", "text").mapInArrow(_leaves(depth, min_tokens), "row long, leaf long, line int")
     lines = work.write(lines, "leaves")
     frequent = lines.groupBy("leaf").agg(F.count_distinct("row").alias("n")).where(F.col("n") >= min_docs).select("leaf")
-    # neither side of the joins below has a bound: merged, never broadcast
+    # Neither side of the joins below has a bound: merged, never broadcast. The counted side is written first, so
+    # that the join deals both sides itself and can split the partitions of a very common leaf, token or template.
+    frequent = work.write(frequent, "frequent")
     wanted = lines.join(frequent.hint("merge"), "leaf").groupBy("row").agg(F.collect_set("line").alias("lines"))
     read = docs.select("row", "text").join(wanted.hint("merge"), "row")
     lines = work.write(read.mapInArrow(_tokens(depth), "row long, line int, leaf long, hash long, tokens array<long>, near long, text long"), "lines")
@@ -148,6 +150,7 @@ def drop_recurring_lines(
     distinct = work.write(lines.groupBy("leaf", "hash").agg(F.count_distinct("row").alias("n"), F.first("tokens").alias("tokens")), "distinct")
     places = distinct.select("leaf", "hash", "n", F.size("tokens").alias("size"), F.posexplode("tokens").alias("at", "token"))
     constant = places.groupBy("leaf", "at", "token").agg(F.sum("n").alias("docs")).where(F.col("docs") >= min_docs).drop("docs")
+    constant = work.write(constant, "constant")
     kept = places.join(constant.hint("merge"), ["leaf", "at", "token"]).groupBy("leaf", "hash", "size").agg(F.collect_list(F.struct("at", "token")).alias("c"))
     kept = kept.where((F.size("c") >= min_const) & (F.size("c") >= similar * F.col("size")))
     templates = work.write(kept.select("leaf", "hash", F.xxhash64("leaf", F.sort_array("c")).alias("template")), "templates")
@@ -155,6 +158,7 @@ def drop_recurring_lines(
     spread = found.groupBy("template", "near", "text").agg(F.lit(1)).groupBy("template", "near").agg(F.count("*").alias("texts"))
     spread = spread.groupBy("template").agg(F.count("*").alias("near"), F.sum("texts").alias("texts"))
     recurring = spread.where((F.col("near") >= min_docs) & (F.col("near") >= diverse * F.col("texts"))).select("template")
+    recurring = work.write(recurring, "recurring")
     dropped = found.join(recurring.hint("merge"), "template").groupBy("row").agg(F.array_sort(F.collect_set("line")).alias("dropped"))
     dropped = work.write(dropped, "dropped")
     out = docs.join(dropped.hint("merge"), "row", "left")

@@ -82,7 +82,9 @@ def domain_posteriors(
     weight = np.log(share)
     weight -= weight.mean(axis=0)
     # tokens that tell no domain from the others add only noise
-    sure = np.abs(odds) >= telling * np.sqrt(1 / (n + smoothing) + 1 / (rest + smoothing))
+    both = n.sum(axis=0) / max(1.0, sizes.sum())
+    spread = np.sqrt(both * (1 - both) * (1 / np.maximum(sizes, 1)[:, None] + 1 / others))
+    sure = np.abs(n / np.maximum(sizes, 1)[:, None] - rest / others) >= telling * np.maximum(spread, 1e-9)
     weight[:, ~(sure & (np.abs(odds) >= least_odds)).any(axis=0)] = 0
     prior = np.log(sizes + 1)
     tables = [_numbers(w) for w in weight]

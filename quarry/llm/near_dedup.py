@@ -294,6 +294,7 @@ def near_duplicates(
     members = nodes.select(F.col("doc_id").alias("node"), F.posexplode("bands").alias("band", "key"))
     members = work.write(members, "members")
     hubs = members.groupBy("band", "key").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "key")).alias("hub")).where("n > 1")
+    hubs = work.write(hubs, "hubs")  # so that the join deals both sides itself and can split a large bucket
     members = work.write(members.join(hubs, ["band", "key"]), "candidates")
     work.drop("members")
     named = members.select(F.col("node").alias("doc_id")).distinct()
