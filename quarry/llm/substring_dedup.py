@@ -20,11 +20,15 @@ positions are doubled until the prefix is unique or reaches ``length``:
   is reduced before its strings are told apart. Past the threshold, what remains
   is, for each of the ``length``-byte strings around a position, the smallest id
   that has it.
+* A seed in more than ``hot_texts`` texts would bring a position of each of them into
+  one task. Its strings are dealt one by one instead, by their own fingerprints, after
+  each shard has reduced them to the smallest id; the shards learn which of their
+  strings others have with a smaller id, and mark them themselves.
 * Texts with equal content count once in these rounds: of n exact copies only
   the one of smallest id is compared; the others are covered wholly.
 
 What travels in both rounds is packed: a row holds the sorted numbers of one
-chunk of texts for one partition. Rank collisions: round 1 compares 40 bits,
+batch of texts for one partition. Rank collisions: round 1 compares 40 bits,
 where a chance hit only costs work; round 2 compares 64 bits and all the bytes.
 
 Edge cases: null and empty texts have no bytes. Texts shorter than ``length``
@@ -41,6 +45,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,24 +121,36 @@ def _bucket(rank: np.ndarray, n: int) -> np.ndarray:
     return ((rank >> U64(40)) % U64(n)).astype(np.int64)
 
 
+def _groups(x: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of the runs of equal values."""
+    if len(x):
+        edges = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]]))
+        yield from zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
+
+
 def _emit_seeds(length: int, n: int):
-    """Rows (bucket, texts, shards, seeds, of): the distinct ranks of a chunk's texts."""
+    """Rows (bucket, ids, shards, seeds, of): the distinct ranks of a batch's texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, chunk in chunks(batches, most=TEXT_BYTES):
-            of, _, rank = _seeds(chunk, length)
-            if not len(of):
+        for whole in batches:
+            ofs, ranks_, done = [], [], 0
+            for batch, chunk in chunks(iter([whole]), most=TEXT_BYTES):
+                of, _, rank = _seeds(chunk, length)
+                ofs.append(of + done)
+                ranks_.append(rank)
+                done += batch.num_rows
+            if not done:
                 continue
+            of, rank = np.concatenate(ofs), np.concatenate(ranks_)
             bucket = _bucket(rank, n)
             order = np.lexsort((of, rank & LOW40, bucket))
             of, rank, bucket = of[order], (rank & LOW40)[order], bucket[order]
-            new = np.concatenate([[True], (rank[1:] != rank[:-1]) | (of[1:] != of[:-1]) | (bucket[1:] != bucket[:-1])])
+            new = np.concatenate([[True], (rank[1:] != rank[:-1]) | (of[1:] != of[:-1]) | (bucket[1:] != bucket[:-1])])[: len(of)]
             of, rank, bucket = of[new], rank[new], bucket[new]
-            ids = np.asarray(batch.column(0), dtype=np.int64)
-            shards = np.asarray(batch.column(2), dtype=np.int32)
+            ids = np.asarray(whole.column(0), dtype=np.int64)
+            shards = np.asarray(whole.column(2), dtype=np.int32)
             out: list[list] = [[], [], [], [], []]
-            edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
+            for a, b in _groups(bucket):
                 texts, local = np.unique(of[a:b], return_inverse=True)
                 for x, y in zip(out, (int(bucket[a]), ids[texts].tobytes(), shards[texts].tobytes(), _low5(rank[a:b]).tobytes(), local.astype(np.uint32).tobytes()), strict=True):
                     x.append(y)
@@ -142,10 +159,11 @@ def _emit_seeds(length: int, n: int):
     return run
 
 
-def _shared_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, bucket, seeds): ranks that lie in two texts or more, for each shard that has them.
+def _shared_seeds(hot: int):
+    """Rows (shard, bucket, hot, seeds): ranks that lie in two texts or more, for each shard that has them.
 
-    Reads one bucket after another: rows come sorted by bucket.
+    Those in more than ``hot`` texts come in rows of their own. Reads one bucket after
+    another: rows come sorted by bucket.
     """
 
     def settle(bucket: int, rows: list[tuple[bytes, bytes, bytes, bytes]]) -> pa.RecordBatch:
@@ -159,88 +177,139 @@ def _shared_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         size = np.diff(np.append(start, len(seed)))
         several = np.minimum.reduceat(ids, start) < np.maximum.reduceat(ids, start)
         keep = np.repeat(several, size)
-        seed, shard = seed[keep], shard[keep]
-        order = np.lexsort((seed, shard))
-        seed, shard = seed[order], shard[order]
-        new = np.concatenate([[True], (seed[1:] != seed[:-1]) | (shard[1:] != shard[:-1])])[: len(seed)]
-        seed, shard = seed[new], shard[new]
-        edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(seed) else np.zeros(1, np.int64)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(shard[edges[:-1]], pa.int32()),
-                pa.array(np.full(len(edges) - 1, bucket), pa.int32()),
-                pa.array([_low5(seed[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary()),
-            ],
-            ["shard", "bucket", "seeds"],
-        )
-
-    at, rows = None, []
-    for batch in batches:
-        for b, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if b != at and rows:
-                yield settle(at, rows)
-                rows = []
-            at = b
-            rows.append(tuple(row))
-    if rows:
-        yield settle(at, rows)
+        many = np.repeat(size > hot, size)[keep].astype(np.int64)
+        seed, shard = seed[keep], shard[keep].astype(np.int64)
+        order = np.lexsort((seed, many, shard))
+        seed, row = seed[order], (shard * 2 + many)[order]
+        new = np.concatenate([[True], (seed[1:] != seed[:-1]) | (row[1:] != row[:-1])])[: len(seed)]
+        seed, row = seed[new], row[new]
+        out: list[list] = [[], [], [], []]
+        for a, b in _groups(row):
+            for x, y in zip(out, (int(row[a]) // 2, bucket, bool(row[a] % 2), _low5(seed[a:b]).tobytes()), strict=True):
+                x.append(y)
+        types = (pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], ["shard", "bucket", "hot", "seeds"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows = None, []
+        for batch in batches:
+            for b, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b != at and rows:
+                    yield settle(at, rows)
+                    rows = []
+                at = b
+                rows.append(tuple(row))
+        if rows:
+            yield settle(at, rows)
 
-def _emit_pairs(length: int, n: int):
-    """For one shard: rows (bucket, numbers, bytes) of the nominated positions whose seed is shared."""
-    k = length // 2 + 1
-    side = length - k
-    pad = side + (-side) % 8
+    return run
 
-    def run(key: tuple[pa.Scalar, ...], texts: pa.Table, seeds: pa.Table) -> pa.Table:
-        shared: dict[int, np.ndarray] = {}
-        for b, s in zip(seeds.column("bucket").to_pylist(), seeds.column("seeds").to_pylist(), strict=True):
-            shared[b] = _from5(s)
-        known = np.sort(np.concatenate([s * U64(n) + U64(b) for b, s in shared.items()])) if shared else np.zeros(0, np.uint64)
-        out: list[list] = [[], [], []]
+
+class _Sites:
+    """The nominated positions of a shard's texts whose seed is among the given ones, with the bytes around them."""
+
+    def __init__(self, texts: pa.Table, seeds: list[tuple[int, bytes]], length: int, n: int):
+        k = length // 2 + 1
+        side = length - k
+        known = np.unique(np.concatenate([_from5(s) * U64(n) + U64(b) for b, s in seeds])) if seeds else np.zeros(0, np.uint64)
+        parts: list[list[np.ndarray]] = [[] for _ in range(6)]
         batches = texts.select(["id", "text"]).to_batches(max_chunksize=2000) if len(known) else []
         for batch, chunk in chunks(iter(batches), most=TEXT_BYTES):
             of, at, rank = _seeds(chunk, length)
-            bucket = _bucket(rank, n)
-            full = (rank & LOW40) * U64(n) + bucket.astype(np.uint64)
+            full = (rank & LOW40) * U64(n) + _bucket(rank, n).astype(np.uint64)
             place = np.minimum(np.searchsorted(known, full), len(known) - 1)
-            keep = np.flatnonzero(known[place] == full)
-            keep = keep[np.argsort(bucket[keep], kind="stable")]
-            of, at, rank, bucket = of[keep], at[keep], rank[keep], bucket[keep]
-            if not len(of):
-                continue
-            ids = np.asarray(batch.column(0), dtype=np.int64)[of]
+            keep = known[place] == full
+            of, at, rank = of[keep], at[keep], rank[keep]
             left = np.minimum(side, at - chunk.offs[of])
             right = np.minimum(side, chunk.offs[of + 1] - at - k)
             wide = np.concatenate([np.zeros(side, np.uint8), chunk.buf, np.zeros(side, np.uint8)])
-            around = np.zeros((len(at), 2 * pad), np.uint8)
+            around = np.zeros((len(at), 2 * side), np.uint8)
             # the left side is reversed, so that either side is a prefix
             around[:, :side] = wide[(at + side - 1)[:, None] - np.arange(side)]
-            around[:, pad : pad + side] = wide[(at + side + k)[:, None] + np.arange(side)]
+            around[:, side:] = wide[(at + side + k)[:, None] + np.arange(side)]
             around[:, :side][np.arange(side) >= left[:, None]] = 0
-            around[:, pad : pad + side][np.arange(side) >= right[:, None]] = 0
-            numbers = np.stack([rank.view(np.int64), ids, at - chunk.offs[of], left * 256 + right], axis=1)
-            edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                out[0].append(int(bucket[a]))
-                out[1].append(numbers[a:b].tobytes())
-                out[2].append(np.concatenate([around[a:b, :side], around[a:b, pad : pad + side]], axis=1).tobytes())
-        return pa.table({"bucket": pa.array(out[0], pa.int32()), "numbers": pa.array(out[1], pa.binary()), "around": pa.array(out[2], pa.binary())})
+            around[:, side:][np.arange(side) >= right[:, None]] = 0
+            ids = np.asarray(batch.column(0), dtype=np.int64)[of]
+            for x, y in zip(parts, (rank, ids, at - chunk.offs[of], left, right, around), strict=True):
+                x.append(y)
+        empty = (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4)), np.zeros((0, 2 * side), np.uint8))
+        self.rank, self.ids, self.at, self.left, self.right, self.around = (np.concatenate(x) if x else e for x, e in zip(parts, empty, strict=True))
+
+
+def _string_keys(rank: np.ndarray, around: np.ndarray, left: np.ndarray, right: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each position the fingerprints of the strings from 0, 1, ... bytes before it, and which of them lie in the text.
+
+    Ranks of the prefixes of either side are doubled up byte by byte; a string's pairs
+    the rank of what lies before the seed with that of what lies behind it.
+    """
+    pre = np.zeros((2, len(rank), side + 1), np.uint64)
+    for s in range(2):
+        pre[s, :, 0] = h = mix(rank + U64(s))
+        for j in range(side):
+            h = mix(h * U64(0x9E3779B97F4A7C15) + BYTE_CODE[around[:, s * side + j]])
+            pre[s, :, j + 1] = h
+    o = np.arange(side + 1)
+    keys = mix(pre[0] * U64(0xD6E8FEB86659FD93) + pre[1][:, ::-1] + o.astype(np.uint64))
+    return keys, (left[:, None] >= o) & (right[:, None] >= side - o)
+
+
+def _least(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order and the smallest id of each."""
+    order = np.lexsort((ids, keys))
+    keys, ids = keys[order], ids[order]
+    new = np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]
+    return keys[new], ids[new]
+
+
+def _emit_pairs(length: int, n: int):
+    """For one shard: rows (bucket, kind, shard, numbers, around).
+
+    Kind 0: the nominated positions whose seed is shared, with the bytes around them.
+    Kind 1: of seeds in very many texts the strings around a position, one entry a string
+    with the smallest id of the shard, dealt by string.
+    """
+    side = length - length // 2 - 1
+
+    def run(key: tuple[pa.Scalar, ...], texts: pa.Table, seeds: pa.Table) -> pa.Table:
+        rows = list(zip(*(seeds.column(c).to_pylist() for c in ("bucket", "hot", "seeds")), strict=True))
+        out: list[list] = [[], [], [], [], []]
+        x = _Sites(texts, [(b, s) for b, hot, s in rows if not hot], length, n)
+        bucket = _bucket(x.rank, n)
+        order = np.argsort(bucket, kind="stable")
+        numbers = np.stack([x.rank.view(np.int64), x.ids, x.at, x.left * 256 + x.right], axis=1)[order]
+        around = x.around[order]
+        for a, b in _groups(bucket[order]):
+            for y, z in zip(out, (int(bucket[order[a]]), 0, None, numbers[a:b].tobytes(), around[a:b].tobytes()), strict=True):
+                y.append(z)
+        x = _Sites(texts, [(b, s) for b, hot, s in rows if hot], length, n)
+        if len(x.rank):
+            keys, fits = _string_keys(x.rank, x.around, x.left, x.right, side)
+            keys, ids = _least(keys[fits], np.broadcast_to(x.ids[:, None], fits.shape)[fits])
+            bucket = (keys % U64(n)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            numbers = np.stack([keys.view(np.int64), ids], axis=1)[order]
+            for a, b in _groups(bucket[order]):
+                for y, z in zip(out, (int(bucket[order[a]]), 1, key[0].as_py(), numbers[a:b].tobytes(), b""), strict=True):
+                    y.append(z)
+        types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.table({c: pa.array(y, t) for c, y, t in zip(("bucket", "kind", "shard", "numbers", "around"), out, types, strict=True)})
 
     return run
 
 
 def _covered(length: int):
-    """Rows (id, spans) of what texts share with texts of smaller id; spans are merged per text and bucket."""
-    k = length // 2 + 1
-    side = length - k
+    """Rows (shard, kind, id, data), bucket by bucket.
+
+    Kind 0: what a text shares with texts of smaller id, as spans merged within the bucket.
+    Kind 1: the strings of a shard, from very frequent seeds, that another shard has with a smaller id.
+    """
+    side = length - length // 2 - 1
 
-    def settle(rows: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-        numbers = np.concatenate([np.frombuffer(a, np.int64).reshape(-1, 4) for a, _ in rows])
-        around = np.concatenate([np.frombuffer(b, np.uint8).reshape(-1, 2 * side) for _, b in rows])
+    def spans(rows: list[tuple]) -> pa.RecordBatch:
+        numbers = np.concatenate([np.frombuffer(a, np.int64).reshape(-1, 4) for _, a, _ in rows])
+        around = np.concatenate([np.frombuffer(b, np.uint8).reshape(-1, 2 * side) for *_, b in rows])
         rank, ids, at, reach = (numbers[:, i] for i in range(4))
-        width = -(2 * side) % 8 + 2 * side
-        wide = np.zeros((len(around), width), np.uint8)
+        wide = np.zeros((len(around), 2 * side + -(2 * side) % 8), np.uint8)
         wide[:, : 2 * side] = around
         words = wide.view(np.uint64)
         # equal neighbourhoods of one rank are one entry: its smallest id stands for all
@@ -250,57 +319,69 @@ def _covered(length: int):
         entry = np.empty(len(order), np.int64)
         entry[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(order))))
         first = order[start]  # of each entry, a position with the smallest id
-        # ranks of all prefixes of either side, doubled up byte by byte
         least = np.full((len(first), side + 1), NEVER)
         alone = np.ones(len(first), bool)
         again = rank[first][1:] == rank[first][:-1]
         alone[1:] &= ~again
         alone[:-1] &= ~again
         left, right = reach[first] // 256, reach[first] % 256
-        e = np.flatnonzero(~alone)  # an entry alone with its rank is unique: its smallest id is all there is to know
-        pre = np.zeros((2, len(e), side + 1), np.uint64)
-        for s in range(2):
-            h = mix(rank[first[e]].view(np.uint64) + U64(s))
-            pre[s, :, 0] = h
-            for j in range(side):
-                h = mix(h * U64(0x9E3779B97F4A7C15) + BYTE_CODE[around[first[e], s * side + j]])
-                pre[s, :, j + 1] = h
-        for o in range(side + 1):
-            fits = np.flatnonzero((left[e] >= o) & (right[e] >= side - o))
-            if len(fits):
-                key = mix(pre[0, fits, o] * U64(0xD6E8FEB86659FD93) + pre[1, fits, side - o])
-                _, inverse = np.unique(key, return_inverse=True)
-                best = np.full(int(inverse.max()) + 1, NEVER)
-                np.minimum.at(best, inverse, ids[first[e[fits]]])
-                least[e[fits], o] = best[inverse]
-            alone_fits = np.flatnonzero(alone & (left >= o) & (right >= side - o))
-            least[alone_fits, o] = ids[first[alone_fits]]
+        # an entry alone with its rank is unique: its smallest id is all there is to know
+        o = np.arange(side + 1)
+        fits = (left[:, None] >= o) & (right[:, None] >= side - o)
+        least[alone] = np.where(fits[alone], ids[first[alone], None], NEVER)
+        several = np.flatnonzero(~alone)
+        if len(several):
+            keys, _ = _string_keys(rank[first[several]].view(np.uint64), around[first[several]], left[several], right[several], side)
+            for j in range(side + 1):
+                on = np.flatnonzero(fits[several, j])
+                if len(on):
+                    distinct, inverse = np.unique(keys[on, j], return_inverse=True)
+                    best = np.full(len(distinct), NEVER)
+                    np.minimum.at(best, inverse, ids[first[several[on]]])
+                    least[several[on], j] = best[inverse]
         hit = least[entry] < ids[:, None]
-        any_hit = np.flatnonzero(hit.any(axis=1))
-        # strings at offsets o cover [at - o, at - o + length): runs of offsets are one span
-        h = np.zeros((len(any_hit), side + 3), bool)
-        h[:, 1:-1] = hit[any_hit]
-        row, a = np.nonzero(h[:, 1:] & ~h[:, :-1])
-        _, b = np.nonzero(~h[:, 1:] & h[:, :-1])
-        pos = any_hit[row]
-        return _merged(ids[pos], at[pos] - (b - 1), at[pos] - a + length)
+        got = _merged(*_as_spans(hit, ids, at, length))
+        return _rows([None] * len(got), 0, [i for i, _ in got], [s for _, s in got])
+
+    def beaten(rows: list[tuple]) -> pa.RecordBatch:
+        parts = [np.frombuffer(a, np.int64).reshape(-1, 2) for _, a, _ in rows]
+        keys, least = _least(np.concatenate([p[:, 0] for p in parts]).view(np.uint64), np.concatenate([p[:, 1] for p in parts]))
+        out = [p[least[np.searchsorted(keys, p[:, 0].view(np.uint64))] < p[:, 1], 0].tobytes() for p in parts]
+        some = [i for i, x in enumerate(out) if x]
+        return _rows([rows[i][0] for i in some], 1, [None] * len(some), [out[i] for i in some])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, rows = None, []
+        at, rows = None, []
         for batch in batches:
-            for b, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if b != bucket and rows:
-                    yield settle(rows)
+            for bucket, kind, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (bucket, kind) != at and rows:
+                    yield (beaten if at[1] else spans)(rows)
                     rows = []
-                bucket = b
+                at = bucket, kind
                 rows.append(tuple(row))
         if rows:
-            yield settle(rows)
+            yield (beaten if at[1] else spans)(rows)
 
     return run
 
 
-def _merged(ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+def _rows(shards: list, kind: int, ids: list, data: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array([kind] * len(data), pa.int32()), pa.array(ids, pa.int64()), pa.array(data, pa.binary())], ["shard", "kind", "id", "data"])
+
+
+def _as_spans(hit: np.ndarray, ids: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, start, end) of the strings that are hit: those from o bytes before a position cover [at - o, at - o + length)."""
+    some = np.flatnonzero(hit.any(axis=1))
+    h = np.zeros((len(some), hit.shape[1] + 2), bool)
+    h[:, 1:-1] = hit[some]
+    row, a = np.nonzero(h[:, 1:] & ~h[:, :-1])  # runs of offsets are one span
+    _, b = np.nonzero(~h[:, 1:] & h[:, :-1])
+    pos = some[row]
+    return ids[pos], at[pos] - (b - 1), at[pos] - a + length
+
+
+def _merged(ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[int, bytes]]:
+    """For each id its spans in order, those that overlap or touch joined, as packed pairs."""
     order = np.lexsort((start, ids))
     ids, start, end = ids[order], start[order], end[order]
     text = np.cumsum(np.concatenate([[0], ids[1:] != ids[:-1]]))[: len(ids)].astype(np.int64)
@@ -308,39 +389,58 @@ def _merged(ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBat
     reach = np.maximum.accumulate(text * big + end) if len(ids) else end
     new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (text[1:] * big + start[1:] > reach[:-1])])[: len(ids)]
     at = np.flatnonzero(new)
-    spans = np.stack([start[at], (reach - text * big)[np.append(at[1:], len(ids)) - 1]], axis=1).astype(np.int32) if len(at) else np.zeros((0, 2), np.int32)
-    who = ids[at]
-    edges = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1], [True]])) if len(at) else np.zeros(1, np.int64)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(who[edges[:-1]], pa.int64()), pa.array([spans[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())],
-        ["id", "spans"],
-    )
-
+    if not len(at):
+        return []
+    spans = np.stack([start[at], (reach - text * big)[np.append(at[1:], len(ids)) - 1]], axis=1)
+    return [(int(ids[at[a]]), spans[a:b].tobytes()) for a, b in _groups(ids[at])]
+
+
+def _finish(length: int, n: int, with_text: bool):
+    """For one shard: the result of each text."""
+    side = length - length // 2 - 1
+
+    def frequent(shard: pa.Table, hot: list[tuple[int, bytes]], beaten: list[bytes]) -> list[tuple[int, bytes]]:
+        """Spans from seeds in very many texts: strings of which this shard, or another, has a smaller id."""
+        x = _Sites(shard, hot, length, n)
+        if not len(x.rank):
+            return []
+        keys, fits = _string_keys(x.rank, x.around, x.left, x.right, side)
+        ids = np.broadcast_to(x.ids[:, None], fits.shape)
+        known, least = _least(keys[fits], ids[fits])
+        place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        lost = np.sort(np.concatenate([np.frombuffer(b, np.int64) for b in beaten]).view(np.uint64)) if beaten else np.zeros(0, np.uint64)
+        hit = ids > least[place]
+        if len(lost):
+            hit = hit | (lost[np.minimum(np.searchsorted(lost, keys), len(lost) - 1)] == keys)
+        return _merged(*_as_spans(hit & fits, x.ids, x.at, length))
 
-def _finish(length: int, with_text: bool):
     def run(key: tuple[pa.Scalar, ...], texts: pa.Table, found: pa.Table) -> pa.Table:
         by: dict[int, list[bytes]] = {}
-        for i, s in zip(found.column("id").to_pylist(), found.column("spans").to_pylist(), strict=True):
+        rows = list(zip(*(found.column(c).to_pylist() for c in ("kind", "id", "data")), strict=True))
+        hot = [(i, s) for kind, i, s in rows if kind == 2]
+        extra = frequent(texts.filter(pc.invert(texts.column("copy"))), hot, [s for kind, _, s in rows if kind == 1]) if hot else []
+        for i, s in [*((i, s) for kind, i, s in rows if kind == 0), *extra]:
             by.setdefault(i, []).append(s)
-        rows: dict[str, list] = {c: [] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else []))}
+        out: dict[str, list] = {c: [] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else []))}
+        none = np.zeros((0, 2), np.int64)
         for i, real, text, copy in zip(*(texts.column(c).to_pylist() for c in ("id", "doc_id", "text", "copy")), strict=True):
             data = (text or "").encode()
             if copy:
-                spans = np.array([[0, len(data)]], np.int32) if len(data) >= length else np.zeros((0, 2), np.int32)
+                spans = np.array([[0, len(data)]]) if len(data) >= length else none
             elif i in by:
-                s = np.concatenate([np.frombuffer(x, np.int32).reshape(-1, 2) for x in by[i]])
-                spans = np.frombuffer(_merged(np.zeros(len(s), np.int64), s[:, 0].astype(np.int64), s[:, 1].astype(np.int64)).column(1)[0].as_py(), np.int32).reshape(-1, 2)
+                s = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in by[i]])
+                spans = np.frombuffer(_merged(np.zeros(len(s), np.int64), s[:, 0], s[:, 1])[0][1], np.int64).reshape(-1, 2)
             else:
-                spans = np.zeros((0, 2), np.int32)
+                spans = none
             kept = data
             if len(spans):
                 cuts = [0, *spans.reshape(-1).tolist(), len(data)]
                 kept = b"".join(data[cuts[j] : cuts[j + 1]] for j in range(0, len(cuts), 2))
             values = [real, len(data), int((spans[:, 1] - spans[:, 0]).sum()), len(spans), hashlib.sha256(kept).hexdigest(), *([kept] if with_text else [])]
-            for column, v in zip(rows.values(), values, strict=True):
+            for column, v in zip(out.values(), values, strict=True):
                 column.append(v)
         types = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * with_text
-        return pa.table({c: pa.array(v, t) for (c, v), t in zip(rows.items(), types, strict=True)})
+        return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), types, strict=True)})
 
     return run
 
@@ -352,12 +452,14 @@ def remove_repeats(
     id_col: str = "doc_id",
     text_col: str = "text",
     length: int = 50,
-    shard_bytes: int = 8 << 20,
+    shard_bytes: int = 4 << 20,
+    hot_texts: int = 20_000,
     with_text: bool = False,
 ) -> DataFrame:
     """Return doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes), one row per row of docs.
 
-    ``shard_bytes`` bounds the text that one task holds at a time, but for texts longer than that.
+    ``shard_bytes`` is about the text that one call holds at a time, but for texts longer than that.
+    ``hot_texts`` is the number of texts with one seed from which its strings are dealt one by one.
     """
     work = Work(spark, "repeats")
     # null ids are last; rows of one id are one document
@@ -365,12 +467,14 @@ def remove_repeats(
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), ident.alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, ceil(total / shard_bytes))
-    n = max(partitions(spark), shards)
-    docs = docs.withColumn("key", F.xxhash64("text")).withColumn("check", F.xxhash64("text", F.lit(1)))
+    n = max(partitions(spark), ceil(total / (16 << 20)))
+    docs = docs.withColumn("key", F.xxhash64("text"))
     docs = docs.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    same = work.write(docs.groupBy("key", "check", F.octet_length("text").alias("size")).agg(F.min("id").alias("least"), F.count("*").alias("copies")).where("copies > 1"), "same")
     # of texts that occur more than once, only rows of the smallest id are compared
-    later = docs.join(same, (docs["key"] == same["key"]) & (docs["check"] == same["check"]) & (F.octet_length("text") == same["size"]) & (docs["id"] > same["least"]), "left_semi").select("id", "key").distinct()
+    slim = docs.select("id", "key", F.xxhash64("text", F.lit(1)).alias("check"), F.octet_length("text").alias("size"))
+    same = slim.groupBy("key", "check", "size").agg(F.min("id").alias("least"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    same = work.write(same, "same")
+    later = slim.join(same, ["key", "check", "size"]).where("id > least").select("id", "key").distinct()
     later = work.write(later, "later").select(F.col("id").alias("l_id"), F.col("key").alias("l_key"))
     marked = docs.select("doc_id", "id", "text", "shard", "key").join(later, (F.col("id") == F.col("l_id")) & (F.col("key") == F.col("l_key")), "left")
     marked = work.write(marked.select("doc_id", "id", "text", "shard", F.col("l_id").isNotNull().alias("copy")), "marked")
@@ -378,12 +482,14 @@ def remove_repeats(
 
     seeds = first.select("id", "text", "shard").mapInArrow(_emit_seeds(length, n), "bucket int, ids binary, shards binary, seeds binary, of binary")
     seeds = seeds.repartition(n, "bucket").sortWithinPartitions("bucket")
-    shared = work.write(seeds.mapInArrow(_shared_seeds, "shard int, bucket int, seeds binary"), "shared")
-    pairs = first.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(_emit_pairs(length, n), "bucket int, numbers binary, around binary")
-    pairs = pairs.repartition(n, "bucket").sortWithinPartitions("bucket")
-    spans = work.write(pairs.mapInArrow(_covered(length), "id long, spans binary").withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")), "spans")
+    shared = work.write(seeds.mapInArrow(_shared_seeds(hot_texts), "shard int, bucket int, hot boolean, seeds binary"), "shared")
+    pairs = first.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(_emit_pairs(length, n), "bucket int, kind int, shard int, numbers binary, around binary")
+    pairs = pairs.repartition(n, "bucket", "kind").sortWithinPartitions("bucket", "kind")
+    own = F.coalesce("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    found = work.write(pairs.mapInArrow(_covered(length), "shard int, kind int, id long, data binary").withColumn("shard", own), "found")
+    found = found.unionByName(shared.where("hot").select("shard", F.lit(2).alias("kind"), F.col("bucket").cast("long").alias("id"), F.col("seeds").alias("data")))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
-    return marked.groupBy("shard").cogroup(spans.groupBy("shard")).applyInArrow(_finish(length, with_text), schema)
+    return marked.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(_finish(length, n, with_text), schema)
 
 
 def op6_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:

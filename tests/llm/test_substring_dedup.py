@@ -34,10 +34,12 @@ def corpus(seed, alphabet):
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize(("seed", "alphabet", "length"), [(1, "ab", 50), (2, "abcdefgh ", 50), (3, "aé字", 50), (4, "ab ", 17), (5, "abc", 8)])
-def test_against_brute_force(spark, seed, alphabet, length):
+@pytest.mark.parametrize(
+    ("seed", "alphabet", "length", "hot"), [(1, "ab", 50, 20000), (2, "abcdefgh ", 50, 20000), (3, "aé字", 50, 5), (4, "ab ", 17, 3), (5, "abc", 8, 20000), (6, "abcdefgh ", 50, 0), (7, "abcd", 50, 4)]
+)
+def test_against_brute_force(spark, seed, alphabet, length, hot):
     docs = corpus(seed, alphabet)
-    df = remove_repeats(spark, spark.createDataFrame(docs, "doc_id long, text string"), length=length, shard_bytes=3000)
+    df = remove_repeats(spark, spark.createDataFrame(docs, "doc_id long, text string"), length=length, shard_bytes=3000, hot_texts=hot)
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in df.collect()}
     assert got == brute(docs, length)
 
