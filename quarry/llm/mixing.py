@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import Work, bounded_sample, table
 
-TOKEN = r"[\p{L}\p{N}]+|[#*$%&|<>]+"
-SHAPES = 16
+TOKEN = r"[\p{L}\p{N}]+|[#*$%&|<>!]+"
+SHAPES = 8
 RIDGE = 1e-4
 DOMAINS = ("good", "poor", "toxic")
 RESULT = ("n_tokens", "rate", "copies")
@@ -47,14 +47,17 @@ def label_domain(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, "toxic").when(quality == 1, "good").when(quality == 0, "poor")
 
 
-def _buckets(text: Column, buckets: int) -> Column:
-    """The distinct buckets of a text's tokens, and two for its shape: repetition and capitals."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 0)
-    number = F.transform(words, lambda t: F.pmod(F.xxhash64(t), F.lit(buckets - SHAPES)).cast("int"))
-    repeated = F.floor(F.least(F.lit(7.0), F.size(words) / F.greatest(F.lit(1), F.size(F.array_distinct(number))))).cast("int")
-    capitals = F.floor(F.lit(7.0) * F.length(F.regexp_replace(text, r"[^A-Z]+", "")) / F.greatest(F.lit(1), F.length(text))).cast("int")
-    shape = F.array(F.lit(buckets - SHAPES) + repeated, F.lit(buckets - SHAPES + 8) + capitals)
-    return F.concat(F.array_distinct(number), shape)
+def _bucketed(docs: DataFrame, buckets: int) -> DataFrame:
+    """docs with n_tokens and b: the distinct buckets of a text's tokens, and one for how often it repeats them.
+
+    In steps, so that tokens are found once: the optimizer doesn't join steps whose result is used twice.
+    """
+    words = F.coalesce(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), 0), F.array().cast("array<string>"))
+    out = docs.withColumn("_w", words)
+    out = out.withColumn("_u", F.array_distinct(F.transform("_w", lambda t: F.pmod(F.xxhash64(t), F.lit(buckets - SHAPES)).cast("int"))))
+    out = out.withColumn("n_tokens", F.size("_w").cast("long"))
+    repeated = F.floor(F.least(F.lit(SHAPES - 1.0), F.col("n_tokens") / F.greatest(F.lit(1), F.size("_u")))).cast("int")
+    return out.withColumn("b", F.concat("_u", F.array(F.lit(buckets - SHAPES) + repeated))).drop("_w", "_u")
 
 
 def _numbers(values: np.ndarray) -> Column:
@@ -63,13 +66,13 @@ def _numbers(values: np.ndarray) -> Column:
 
 
 def domain_posteriors(
-    spark: SparkSession, docs: DataFrame, labels: DataFrame, domains: tuple[str, ...], *, sample: int = 20_000, buckets: int = 1 << 14, telling: float = 5.0, least_odds: float = 1.0, evidence: float = 300.0, smoothing: float = 0.5
+    spark: SparkSession, docs: DataFrame, labels: DataFrame, domains: tuple[str, ...], *, sample: int = 20_000, buckets: int = 1 << 14, telling: float = 5.0, least_odds: float = 2.0, evidence: float = 300.0, smoothing: float = 0.5
 ) -> DataFrame:
     """docs (row, doc_id, text) with n_tokens and p_0, p_1, ... in the order of domains; labels has doc_id and domain."""
     named = labels.where(F.col("domain").isin(*domains) & F.col("doc_id").isNotNull()).select("doc_id", "domain")
     chosen = bounded_sample(named, F.col("doc_id"), sample).select("doc_id", "domain")
     used = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # of at most ``sample`` rows
-    counts = used.select("domain", F.explode(_buckets(F.col("text"), buckets)).alias("b")).groupBy("domain", "b").count().collect()
+    counts = _bucketed(used, buckets).select("domain", F.explode("b").alias("b")).groupBy("domain", "b").count().collect()
     sizes = np.zeros(len(domains))
     for domain, c in used.groupBy("domain").count().collect():
         sizes[domains.index(domain)] = c
@@ -88,10 +91,10 @@ def domain_posteriors(
     weight[:, ~(sure & (np.abs(odds) >= least_odds)).any(axis=0)] = 0
     prior = np.log(sizes + 1)
     tables = [_numbers(w) for w in weight]
-    scored = docs.withColumn("b", F.coalesce(_buckets(F.col("text"), buckets), F.array().cast("array<int>")))
+    scored = _bucketed(docs, buckets)
     zero = F.struct(*(F.lit(0.0).alias(f"s{k}") for k in range(len(domains))))
     total = F.aggregate("b", zero, lambda a, b: F.struct(*((a[f"s{k}"] + F.get(tables[k], b)).alias(f"s{k}") for k in range(len(domains)))))
-    scored = scored.withColumn("n_tokens", F.coalesce(F.regexp_count("text", F.lit(TOKEN)), F.lit(0)).cast("long")).withColumn("s", total).drop("b", "text")
+    scored = scored.withColumn("s", total).drop("b", "text")
     # a long text has any token sooner or later: its evidence counts as that of ``evidence`` tokens
     scale = F.greatest(F.lit(1.0), F.col("n_tokens") / evidence)
     for k in range(len(domains)):
