@@ -313,7 +313,7 @@ def merkle_segments(spark, d):
 _BYTE = "('0x' || substr(sha1(user_id::varchar), 39, 2))::bigint % 128"
 
 
-@query("SELECT ('0x' || substr(sha1(o_orderkey::varchar), 39, 2))::bigint % 128 AS pid, count(*) AS n FROM orders GROUP BY 1")
+@query("SELECT (('0x' || substr(sha1(o_orderkey::varchar), 39, 2))::bigint % 128)::int AS pid, count(*) AS n FROM orders GROUP BY 1")
 def hash_pid_counts(spark, d):
     return table(spark, d, "orders").groupBy(hash_partition(F.col("o_orderkey"), 128).alias("pid")).agg(F.count("*").alias("n"))
 
@@ -325,7 +325,7 @@ def _horner(n: int) -> str:
     return acc
 
 
-@query(f"SELECT c_custkey, {_horner(1000)} AS pid FROM customer")
+@query(f"SELECT c_custkey, ({_horner(1000)})::int AS pid FROM customer")
 def hash_partition_any(spark, d):
     return table(spark, d, "customer").select("c_custkey", hash_partition(F.col("c_custkey"), 1000).alias("pid"))
 
@@ -369,7 +369,7 @@ def ring_ranges(spark, d):
     return _RING.ranges(spark)
 
 
-_COUNTS = f"WITH c AS (SELECT {_BYTE} AS pid, count(*) AS ops, count(DISTINCT user_id) AS items FROM events GROUP BY 1), p AS (SELECT r.range AS pid, coalesce(ops, 0) AS ops, coalesce(items, 0) AS items FROM range(128) r LEFT JOIN c ON c.pid = r.range)"
+_COUNTS = f"WITH c AS (SELECT {_BYTE} AS pid, count(*) AS ops, count(DISTINCT user_id) AS items FROM events GROUP BY 1), p AS (SELECT r.range::int AS pid, coalesce(ops, 0) AS ops, coalesce(items, 0) AS items FROM range(128) r LEFT JOIN c ON c.pid = r.range)"
 
 
 def _counts(spark, d) -> DataFrame:
