@@ -45,14 +45,13 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BYTE_CODE, U64, Chunk, Work, chunks, mix, partitions, table
 
 LOW40 = U64((1 << 40) - 1)
-TEXT_BYTES = 1 << 20  # of a chunk: numpy's arrays are then about 8 MB each
+TEXT_BYTES = 1 << 18  # of a chunk: numpy's arrays are then about 2 MB each and stay in the cache
 NEVER = np.iinfo(np.int64).max
 
 
@@ -61,49 +60,43 @@ def ranks(buf: np.ndarray, k: int) -> np.ndarray:
     r, j = BYTE_CODE[buf], 1
     while j < k and len(r):
         step = min(j, k - j)
-        r = mix(r[: len(r) - step] * U64(0x9E3779B97F4A7C15) + r[step:]) if len(r) > step else r[:0]
+        if len(r) <= step:
+            return r[:0]
+        new = r[: len(r) - step] * U64(0x9E3779B97F4A7C15)
+        new += r[step:]
+        new ^= new >> U64(32)
+        r = new
         j += step
-    return r
+    return mix(r)
 
 
-def nominated(r: np.ndarray, w: int) -> np.ndarray:
-    """Of each window of w ranks the place of the leftmost smallest one; distinct, in order."""
-    n = len(r) - w + 1
-    if n <= 0:
+def nominated(r: np.ndarray, w: int, valid: np.ndarray) -> np.ndarray:
+    """Of each valid window of w ranks the place of the smallest; distinct, in order.
+
+    Ranks are compared by their upper half, equal ones by place, the leftmost first:
+    a rule that depends on the window alone.
+    """
+    if len(r) < w:
         return np.zeros(0, np.int64)
-    least, span = r, 1
+    least = r & U64(0xFFFFFFFF00000000)
+    least |= np.arange(len(r), dtype=np.uint64)
+    span = 1
     while span < w:
         step = min(span, w - span)
         least = np.minimum(least[: len(least) - step], least[step:])
         span += step
-    # p is nominated iff it is the leftmost smallest of some window that holds it:
-    # walk candidates offset by offset, the leftmost first
-    chosen = np.zeros(len(r), dtype=bool)
-    open_ = np.arange(n)
-    for off in range(w):
-        same = r[open_ + off] == least[open_]
-        chosen[open_[same] + off] = True
-        open_ = open_[~same]
-        if not len(open_):
-            break
-    return np.flatnonzero(chosen)
+    at = (least[valid[: len(least)]] & U64(0xFFFFFFFF)).astype(np.int64)
+    return at[np.concatenate([[True], at[1:] != at[:-1]])[: len(at)]]
 
 
 def _seeds(chunk: Chunk, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, place in buf, rank) of the nominated positions of each text."""
     k = length // 2 + 1
-    w = length - k + 1
     r = ranks(chunk.buf, k)
-    of, at = [], []
-    for i in np.flatnonzero(np.diff(chunk.offs) >= length):
-        a, b = chunk.offs[i], chunk.offs[i + 1]
-        p = nominated(r[a : b - k + 1], w) + a
-        at.append(p)
-        of.append(np.full(len(p), i))
-    if not at:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at_, of_ = np.concatenate(at), np.concatenate(of)
-    return of_, at_, r[at_]
+    # windows that begin so many bytes before the end of their text lie in it
+    left = np.repeat(chunk.offs[1:], np.diff(chunk.offs)) - np.arange(len(chunk.buf))
+    at = nominated(r, length - k + 1, left >= length)
+    return np.searchsorted(chunk.offs, at, "right") - 1, at, r[at]
 
 
 def _low5(x: np.ndarray) -> np.ndarray:
@@ -235,6 +228,28 @@ class _Sites:
         empty = (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4)), np.zeros((0, 2 * side), np.uint8))
         self.rank, self.ids, self.at, self.left, self.right, self.around = (np.concatenate(x) if x else e for x, e in zip(parts, empty, strict=True))
 
+    def among(self, seeds: list[tuple[int, bytes]], n: int) -> np.ndarray:
+        if not seeds:
+            return np.zeros(len(self.rank), bool)
+        known = np.concatenate([_from5(s) * U64(n) + U64(b) for b, s in seeds])
+        return np.isin((self.rank & LOW40) * U64(n) + _bucket(self.rank, n).astype(np.uint64), known)
+
+    def where(self, keep: np.ndarray) -> _Sites:
+        out = object.__new__(_Sites)
+        for name, value in vars(self).items():
+            setattr(out, name, value[keep])
+        return out
+
+    def numbers(self) -> np.ndarray:
+        return np.stack([self.rank.view(np.int64), self.ids, self.at, self.left * 256 + self.right], axis=1)
+
+    @staticmethod
+    def packed(numbers: bytes, around: bytes, side: int) -> _Sites:
+        out, m = object.__new__(_Sites), np.frombuffer(numbers, np.int64).reshape(-1, 4)
+        out.rank, out.ids, out.at, out.left, out.right = m[:, 0].view(np.uint64), m[:, 1], m[:, 2], m[:, 3] // 256, m[:, 3] % 256
+        out.around = np.frombuffer(around, np.uint8).reshape(-1, 2 * side)
+        return out
+
 
 def _string_keys(rank: np.ndarray, around: np.ndarray, left: np.ndarray, right: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each position the fingerprints of the strings from 0, 1, ... bytes before it, and which of them lie in the text.
@@ -267,30 +282,36 @@ def _emit_pairs(length: int, n: int):
     Kind 0: the nominated positions whose seed is shared, with the bytes around them.
     Kind 1: of seeds in very many texts the strings around a position, one entry a string
     with the smallest id of the shard, dealt by string.
+    Kind 2: those positions themselves, on their way to the last step.
     """
     side = length - length // 2 - 1
 
     def run(key: tuple[pa.Scalar, ...], texts: pa.Table, seeds: pa.Table) -> pa.Table:
         rows = list(zip(*(seeds.column(c).to_pylist() for c in ("bucket", "hot", "seeds")), strict=True))
         out: list[list] = [[], [], [], [], []]
-        x = _Sites(texts, [(b, s) for b, hot, s in rows if not hot], length, n)
+
+        def emit(bucket: int, kind: int, numbers: np.ndarray, around: np.ndarray | None) -> None:
+            for y, z in zip(out, (bucket, kind, key[0].as_py(), numbers.tobytes(), b"" if around is None else around.tobytes()), strict=True):
+                y.append(z)
+
+        x = _Sites(texts, [(b, s) for b, _, s in rows], length, n)
+        hot = x.among([(b, s) for b, h, s in rows if h], n)
         bucket = _bucket(x.rank, n)
-        order = np.argsort(bucket, kind="stable")
-        numbers = np.stack([x.rank.view(np.int64), x.ids, x.at, x.left * 256 + x.right], axis=1)[order]
-        around = x.around[order]
+        order = np.flatnonzero(~hot)
+        order = order[np.argsort(bucket[order], kind="stable")]
+        numbers, around = x.numbers()[order], x.around[order]
         for a, b in _groups(bucket[order]):
-            for y, z in zip(out, (int(bucket[order[a]]), 0, None, numbers[a:b].tobytes(), around[a:b].tobytes()), strict=True):
-                y.append(z)
-        x = _Sites(texts, [(b, s) for b, hot, s in rows if hot], length, n)
-        if len(x.rank):
+            emit(int(bucket[order[a]]), 0, numbers[a:b], around[a:b])
+        if hot.any():
+            x = x.where(hot)
+            emit(int(key[0].as_py()) % n, 2, x.numbers(), x.around)
             keys, fits = _string_keys(x.rank, x.around, x.left, x.right, side)
             keys, ids = _least(keys[fits], np.broadcast_to(x.ids[:, None], fits.shape)[fits])
             bucket = (keys % U64(n)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             numbers = np.stack([keys.view(np.int64), ids], axis=1)[order]
             for a, b in _groups(bucket[order]):
-                for y, z in zip(out, (int(bucket[order[a]]), 1, key[0].as_py(), numbers[a:b].tobytes(), b""), strict=True):
-                    y.append(z)
+                emit(int(bucket[order[a]]), 1, numbers[a:b], None)
         types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.table({c: pa.array(y, t) for c, y, t in zip(("bucket", "kind", "shard", "numbers", "around"), out, types, strict=True)})
 
@@ -302,6 +323,7 @@ def _covered(length: int):
 
     Kind 0: what a text shares with texts of smaller id, as spans merged within the bucket.
     Kind 1: the strings of a shard, from very frequent seeds, that another shard has with a smaller id.
+    Kinds 2 and 3: the positions of such seeds, and the bytes around them, as they came.
     """
     side = length - length // 2 - 1
 
@@ -354,6 +376,10 @@ def _covered(length: int):
         at, rows = None, []
         for batch in batches:
             for bucket, kind, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind == 2:
+                    yield _rows([row[0]], 2, [None], [row[1]])
+                    yield _rows([row[0]], 3, [None], [row[2]])
+                    continue
                 if (bucket, kind) != at and rows:
                     yield (beaten if at[1] else spans)(rows)
                     rows = []
@@ -395,15 +421,12 @@ def _merged(ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[i
     return [(int(ids[at[a]]), spans[a:b].tobytes()) for a, b in _groups(ids[at])]
 
 
-def _finish(length: int, n: int, with_text: bool):
+def _finish(length: int, with_text: bool):
     """For one shard: the result of each text."""
     side = length - length // 2 - 1
 
-    def frequent(shard: pa.Table, hot: list[tuple[int, bytes]], beaten: list[bytes]) -> list[tuple[int, bytes]]:
+    def frequent(x: _Sites, beaten: list[bytes]) -> list[tuple[int, bytes]]:
         """Spans from seeds in very many texts: strings of which this shard, or another, has a smaller id."""
-        x = _Sites(shard, hot, length, n)
-        if not len(x.rank):
-            return []
         keys, fits = _string_keys(x.rank, x.around, x.left, x.right, side)
         ids = np.broadcast_to(x.ids[:, None], fits.shape)
         known, least = _least(keys[fits], ids[fits])
@@ -417,8 +440,8 @@ def _finish(length: int, n: int, with_text: bool):
     def run(key: tuple[pa.Scalar, ...], texts: pa.Table, found: pa.Table) -> pa.Table:
         by: dict[int, list[bytes]] = {}
         rows = list(zip(*(found.column(c).to_pylist() for c in ("kind", "id", "data")), strict=True))
-        hot = [(i, s) for kind, i, s in rows if kind == 2]
-        extra = frequent(texts.filter(pc.invert(texts.column("copy"))), hot, [s for kind, _, s in rows if kind == 1]) if hot else []
+        data = {kind: s for kind, _, s in rows if kind > 1}
+        extra = frequent(_Sites.packed(data[2], data[3], side), [s for kind, _, s in rows if kind == 1]) if data else []
         for i, s in [*((i, s) for kind, i, s in rows if kind == 0), *extra]:
             by.setdefault(i, []).append(s)
         out: dict[str, list] = {c: [] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else []))}
@@ -485,11 +508,10 @@ def remove_repeats(
     shared = work.write(seeds.mapInArrow(_shared_seeds(hot_texts), "shard int, bucket int, hot boolean, seeds binary"), "shared")
     pairs = first.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(_emit_pairs(length, n), "bucket int, kind int, shard int, numbers binary, around binary")
     pairs = pairs.repartition(n, "bucket", "kind").sortWithinPartitions("bucket", "kind")
-    own = F.coalesce("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    own = F.coalesce(F.when(F.col("kind") > 0, F.col("shard")), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
     found = work.write(pairs.mapInArrow(_covered(length), "shard int, kind int, id long, data binary").withColumn("shard", own), "found")
-    found = found.unionByName(shared.where("hot").select("shard", F.lit(2).alias("kind"), F.col("bucket").cast("long").alias("id"), F.col("seeds").alias("data")))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
-    return marked.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(_finish(length, n, with_text), schema)
+    return marked.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(_finish(length, with_text), schema)
 
 
 def op6_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
