@@ -295,7 +295,7 @@ def merkle_leaf_diff(spark, d):
 
 
 @query("""WITH l0 AS (SELECT n_regionkey AS region, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i, sha256(n_nationkey::varchar || ':' || n_name) AS h FROM nation),
-l1 AS (SELECT region, i // 2 AS i, sha256(arg_min(h, i) || arg_max(h, i)) AS h FROM l0 GROUP BY ALL HAVING true), s AS (SELECT region, count(*) AS n FROM l0 GROUP BY 1),
+l1 AS (SELECT region, i // 2 AS i, sha256(arg_min(h, i) || arg_max(h, i)) AS h FROM l0 GROUP BY region, i // 2), s AS (SELECT region, count(*) AS n FROM l0 GROUP BY 1),
 k1 AS (SELECT l1.* FROM l1 JOIN s USING (region) WHERE n > 1 UNION ALL SELECT l0.* FROM l0 JOIN s USING (region) WHERE n = 1),
 l2 AS (SELECT region, i // 2 AS i, sha256(arg_min(h, i) || arg_max(h, i)) AS h FROM k1 GROUP BY region, i // 2),
 k2 AS (SELECT l2.* FROM l2 JOIN s USING (region) WHERE n > 2 UNION ALL SELECT k1.* FROM k1 JOIN s USING (region) WHERE n <= 2),
@@ -303,7 +303,7 @@ l3 AS (SELECT region, i // 2 AS i, sha256(arg_min(h, i) || arg_max(h, i)) AS h F
 k3 AS (SELECT l3.* FROM l3 JOIN s USING (region) WHERE n > 4 UNION ALL SELECT k2.* FROM k2 JOIN s USING (region) WHERE n <= 4),
 l4 AS (SELECT region, i // 2 AS i, sha256(arg_min(h, i) || arg_max(h, i)) AS h FROM k3 GROUP BY region, i // 2),
 k4 AS (SELECT l4.* FROM l4 JOIN s USING (region) WHERE n > 8 UNION ALL SELECT k3.* FROM k3 JOIN s USING (region) WHERE n <= 8)
-SELECT region AS n_regionkey, h AS root FROM k4""".replace("i // 2 AS i, sha256(arg_min(h, i) || arg_max(h, i)) AS h FROM l0 GROUP BY ALL HAVING true", "i // 2 AS i, sha256(arg_min(h, i) || arg_max(h, i)) AS h FROM l0 GROUP BY region, i // 2"))
+SELECT region AS n_regionkey, h AS root FROM k4""")
 def merkle_segments(spark, d):
     return merkle.segment_roots(table(spark, d, "nation"), "n_regionkey", "n_nationkey", "n_name")
 
