@@ -72,7 +72,8 @@ def domain_posteriors(
     named = labels.where(F.col("domain").isin(*domains) & F.col("doc_id").isNotNull()).select("doc_id", "domain")
     chosen = bounded_sample(named, F.col("doc_id"), sample).select("doc_id", "domain")
     used = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # of at most ``sample`` rows
-    counts = _bucketed(used, buckets).select("domain", F.explode("b").alias("b")).groupBy("domain", "b").count().collect()
+    # b is never empty; a plain explode would have Spark test that for all documents, below the join
+    counts = _bucketed(used, buckets).select("domain", F.explode_outer("b").alias("b")).groupBy("domain", "b").count().collect()
     sizes = np.zeros(len(domains))
     for domain, c in used.groupBy("domain").count().collect():
         sizes[domains.index(domain)] = c

@@ -219,7 +219,9 @@ def replace_entities(
     work = Work(spark, "surrogates")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    found = docs.withColumn("m", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(ANY), 0)))).select("row", "m").withColumn("kind", _type(F.col("m")))
+    # a plain explode would have Spark search each text once more, to see whether there is anything to explode
+    found = docs.withColumn("m", F.explode_outer(F.array_distinct(F.regexp_extract_all("text", F.lit(ANY), 0)))).select("row", "m").where("m is not null")
+    found = found.withColumn("kind", _type(F.col("m")))
     found = work.write(found.withColumn("normal", _normal(F.col("kind"), F.col("m"))).dropDuplicates(["row", "m"]), "found")
     entities = work.write(found.select("kind", "normal").distinct().withColumn("attempt", F.lit(0)), "entities-0")
     for k in range(1, attempts + 1):
