@@ -195,9 +195,10 @@ def segment_summary(spark, d):
     return scans.segment_summary(table(spark, d, "orders"), F.pmod("o_orderkey", F.lit(5)), "o_orderkey")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey % 5 = 2")
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_linenumber = 2")
 def segment_scan(spark, d):
-    return table(spark, d, "lineitem").where(F.pmod("l_orderkey", F.lit(5)) == 2).select("l_orderkey", "l_linenumber", "l_partkey")
+    # the line number is the segment
+    return table(spark, d, "lineitem").where("l_linenumber = 2").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
 @query("SELECT date_trunc('second', ts)::timestamp AS time, 'event ' || event_id || ' ' || event_type AS message FROM events")
