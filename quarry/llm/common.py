@@ -205,6 +205,19 @@ def salted(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets))
 
 
+def carrying(docs: DataFrame, ident: Column, text_col: str, columns: tuple[str, ...]) -> tuple[DataFrame, str, int]:
+    """Rows (doc_id, text, other columns) for a function over Arrow batches that hands columns through.
+
+    Also their part of the result's schema, and the place from which the batch's columns
+    are handed through: with the text, if it is among them, so that it travels once.
+    """
+    keep = text_col in columns
+    rest = [c for c in columns if c != text_col]
+    docs = docs.select(ident.alias("doc_id"), F.col(text_col).alias(text_col if keep else "_text"), *rest)
+    names = [text_col] * keep + rest
+    return docs, "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in names), 1 if keep else 2
+
+
 def bounded_sample(df: DataFrame, key: Column, size: int) -> DataFrame:
     """``size`` rows, the same for any partitioning: those with the smallest hash of the key.
 

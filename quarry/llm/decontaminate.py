@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORDS, Chunk, chunks, table, tune
+from .common import ALNUM_WORDS, Chunk, carrying, chunks, table, tune
 
 SPAN = "array<struct<start:int,end:int>>"
 
@@ -160,7 +160,7 @@ class FMIndex:
         return found, at
 
 
-def _scan(shared):
+def _scan(shared, carried: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w: Windows = shared.value
         for batch, chunk in chunks(batches):
@@ -208,14 +208,14 @@ def _scan(shared):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    *batch.columns[2:],
+                    *batch.columns[carried:],
                     pa.array(n_words.astype(np.int64)),
                     pa.array(n_hit.astype(np.int64)),
                     spans(a - first[of[a]], b + 1 - first[of[b]]),
                     spans(starts[a] - chunk.offs[of[a]], ends[b] - chunk.offs[of[b]]),
                     pa.ListArray.from_arrays(pa.array(n_items), pa.array(pairs[:, 1])),
                 ],
-                ["doc_id", *batch.schema.names[2:], "n_words", "n_hit", "word_spans", "byte_spans", "items"],
+                ["doc_id", *batch.schema.names[carried:], "n_words", "n_hit", "word_spans", "byte_spans", "items"],
             )
 
     return run
@@ -245,17 +245,16 @@ def contamination(
 ) -> DataFrame:
     """Return doc_id, the named columns of docs, n_words, n_hit, word_spans, byte_spans (merged, of the whole text) and items, one row per row of docs."""
     tune(spark)
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *columns)
-    carried = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in columns)
+    docs, names, carried = carrying(docs, F.col(id_col), text_col, columns)
     items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, ceil(total / block_bytes))
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {carried}n_words long, n_hit long, word_spans {SPAN}, byte_spans {SPAN}, items array<long>"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {names}n_words long, n_hit long, word_spans {SPAN}, byte_spans {SPAN}, items array<long>"
     parts = []
     for k in range(n_blocks):
         block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k) if n_blocks > 1 else items
         windows = Windows([(r[0], r[1]) for r in block.collect()], width)  # at most about block_bytes
-        parts.append(docs.mapInArrow(_scan(spark.sparkContext.broadcast(windows)), schema))
+        parts.append(docs.mapInArrow(_scan(spark.sparkContext.broadcast(windows), carried), schema))
     if n_blocks == 1:
         return parts[0]
     found = parts[0]

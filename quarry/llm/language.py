@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, Chunk, bounded_sample, chunks, table, tune
+from .common import LOWER, Chunk, bounded_sample, carrying, chunks, table, tune
 
 _FOLD = LOWER.copy()
 _FOLD[[b for b in range(128) if not chr(b).isalpha()]] = 0x20
@@ -132,7 +132,7 @@ class Model:
         return self._softmax(z / self.temperature)
 
 
-def _predict(shared, buckets: int):
+def _predict(shared, buckets: int, carried: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model | None = shared.value
         for batch, chunk in chunks(batches):
@@ -147,7 +147,7 @@ def _predict(shared, buckets: int):
                 lang[~lettered] = "und"
                 rejected = ~lettered | (score < m.threshold)
             found = [pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *found], ["doc_id", *batch.schema.names[2:], "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[carried:], *found], ["doc_id", *batch.schema.names[carried:], "lang_pred", "score", "rejected"])
 
     return run
 
@@ -180,12 +180,11 @@ def predict_language(
         ids = bounded_sample(rows.where(F.col("lang") == lang).select("id"), F.col("id"), max(20, sample // len(known)))
         part = rows.where(F.col("lang") == lang).join(F.broadcast(ids.distinct()), "id", "left_semi")  # ids of at most ``sample`` rows
         got = part.select("lang", "text", "id").orderBy(F.xxhash64("id"), "id").select("lang", "text").mapInArrow(_bags(buckets), "lang string, rows binary, weights binary").collect()
-        bags += [(r[0], np.frombuffer(r[1], np.uint16 if buckets <= 1 << 16 else np.uint32).astype(np.int64), np.frombuffer(r[2], np.float32)) for r in got]
+        bags += [(r[0], np.frombuffer(r[1], np.uint16 if buckets <= 1 << 16 else np.uint32), np.frombuffer(r[2], np.float32)) for r in got]
     model = Model(bags, buckets, dim=dim, epochs=epochs, rate=rate, reject=reject, seed=seed) if bags else None
     shared = spark.sparkContext.broadcast(model)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"), *columns)
-    carried = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in columns)
-    return docs.mapInArrow(_predict(shared, buckets), f"doc_id long, {carried}lang_pred string, score double, rejected boolean")
+    docs, names, carried = carrying(docs, F.col(id_col).cast("long"), text_col, columns)
+    return docs.mapInArrow(_predict(shared, buckets, carried), f"doc_id long, {names}lang_pred string, score double, rejected boolean")
 
 
 def held_out(id_col: Column) -> Column:
