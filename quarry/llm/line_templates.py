@@ -7,11 +7,14 @@ are dropped everywhere.
 * The tree has fixed depth: the number of tokens of a line, then its first
   ``depth`` tokens, those with a digit as a wildcard. Its leaves are counted over
   documents; leaves of fewer than ``min_docs`` documents can hold no template.
-* Within a leaf a token at a place is constant if lines of ``min_docs`` documents
-  have it there, else it is a variable field. A line's template is its leaf and
-  its constants. It needs ``min_const`` constants, and ``similar`` of its tokens.
+* Within a leaf a token at a place is constant at level k if lines of
+  ``min_docs`` * 2^k documents have it there, else it is a variable field; at every
+  level also with all tokens that have a digit as variable fields. A line has one
+  template a level, its leaf and its constants there, so the values of a field that
+  are frequent in a large corpus are still a field at a higher level than the rest
+  of the line. A template needs ``min_const`` constants, and ``similar`` of its tokens.
   Unlike a sequential parser's, templates don't depend on the order of lines.
-* A template recurs if it is found in ``min_docs`` different documents. Exact
+* A line is dropped if one of its templates recurs. A template recurs if it is found in ``min_docs`` different documents. Exact
   copies of a text count once, and texts that share their smallest shingle hash
   (so, most likely, near copies) count once; if these leave less than ``diverse``
   of the distinct texts, the lines are those of a group of copies, which is for
@@ -29,11 +32,11 @@ ignored by the operator. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE_WORDS, U64, Chunk, Work, byte_table, chunks, mix, ngram_hashes, table
@@ -55,7 +58,8 @@ class Lines:
         ts, te, self.text_of = chunk.words(SPACE_WORDS)
         self.token = chunk.hashes(ts, te)
         digits = np.concatenate([[0], np.cumsum(_DIGIT[chunk.buf])])
-        masked = np.where(digits[te] > digits[ts], WILD, self.token)
+        self.digit = digits[te] > digits[ts]
+        masked = np.where(self.digit, WILD, self.token)
         line = np.searchsorted(starts, ts, "right") - 1
         self.count = np.bincount(line, minlength=len(starts))
         self.first = np.concatenate([[0], np.cumsum(self.count)])
@@ -101,7 +105,7 @@ def _tokens(depth: int):
             size = x.count[at]
             offs = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
             flat = np.repeat(x.first[at] - offs[:-1], size) + np.arange(offs[-1])
-            tokens = x.token[flat]
+            tokens = x.token[flat] & ~U64(1) | x.digit[flat].astype(np.uint64)  # the lowest bit marks tokens with a digit
             line = mix(np.add.reduceat(mix(tokens + np.arange(len(tokens)).astype(np.uint64) - np.repeat(offs[:-1], size).astype(np.uint64)), offs[:-1])) if len(at) else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -119,6 +123,12 @@ def _tokens(depth: int):
     return run
 
 
+def _constants(wanted: Callable[[Column], Column]) -> Column:
+    """Of the constants c (at, token, level) of a line the wanted ones, (at, token), once for each level."""
+    levels = F.array_distinct(F.transform("c", lambda x: x["level"]))
+    return F.transform(levels, lambda k: F.transform(F.filter("c", lambda x: (x["level"] >= k) & wanted(x)), lambda x: F.struct(x["at"].alias("at"), x["token"].alias("token"))))
+
+
 def drop_recurring_lines(
     spark: SparkSession,
     docs: DataFrame,
@@ -149,11 +159,14 @@ def drop_recurring_lines(
     work.drop("leaves")
     distinct = work.write(lines.groupBy("leaf", "hash").agg(F.count_distinct("row").alias("n"), F.first("tokens").alias("tokens")), "distinct")
     places = distinct.select("leaf", "hash", "n", F.size("tokens").alias("size"), F.posexplode("tokens").alias("at", "token"))
-    constant = places.groupBy("leaf", "at", "token").agg(F.sum("n").alias("docs")).where(F.col("docs") >= min_docs).drop("docs")
+    constant = places.groupBy("leaf", "at", "token").agg(F.sum("n").alias("docs")).where(F.col("docs") >= min_docs)
+    constant = constant.select("leaf", "at", "token", F.floor(F.log2(F.col("docs") / min_docs)).cast("int").alias("level"))
     constant = work.write(constant, "constant")
-    kept = places.join(constant.hint("merge"), ["leaf", "at", "token"]).groupBy("leaf", "hash", "size").agg(F.collect_list(F.struct("at", "token")).alias("c"))
+    kept = places.join(constant.hint("merge"), ["leaf", "at", "token"]).groupBy("leaf", "hash", "size").agg(F.sort_array(F.collect_list(F.struct("at", "token", "level"))).alias("c"))
+    sets = F.array_distinct(F.concat(_constants(lambda x: F.lit(True)), _constants(lambda x: x["token"].bitwiseAND(1) == 0)))
+    kept = kept.where(F.size("c") >= min_const).select("leaf", "hash", "size", F.explode(sets).alias("c"))
     kept = kept.where((F.size("c") >= min_const) & (F.size("c") >= similar * F.col("size")))
-    templates = work.write(kept.select("leaf", "hash", F.xxhash64("leaf", F.sort_array("c")).alias("template")), "templates")
+    templates = work.write(kept.select("leaf", "hash", F.xxhash64("leaf", "c").alias("template")), "templates")
     found = work.write(lines.select("row", "line", "leaf", "hash", "near", "text").join(templates.hint("merge"), ["leaf", "hash"]).select("row", "line", "template", "near", "text"), "found")
     spread = found.groupBy("template", "near", "text").agg(F.lit(1)).groupBy("template", "near").agg(F.count("*").alias("texts"))
     spread = spread.groupBy("template").agg(F.count("*").alias("near"), F.sum("texts").alias("texts"))

@@ -60,6 +60,20 @@ def test_against_brute_force(spark, seed):
         assert r["n_lines"] == texts[r["doc_id"]].count("\n") + 1
 
 
+def unrelated(rng, n):
+    return " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+
+
+@pytest.mark.parametrize("n", [100, 1200])
+def test_templates_do_not_fade_as_the_corpus_grows(spark, n):
+    rng = random.Random(5)
+    months = "January February March April May June July August September October November December".split()
+    posted = lambda: f"Posted on the {rng.randint(1, 28)} {rng.choice(months)} {rng.randint(2010, 2024)} in our news section"
+    docs = [(d, f"{unrelated(rng, 30)}\n{posted()}\n{unrelated(rng, 25)}") for d in range(n)]
+    got = drop_recurring_lines(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(got) == n and all(r["dropped"] == [1] for r in got)
+
+
 def test_lines_of_copies_stay(spark):
     body = "\n".join(" ".join(f"w{i}{j}" for j in range(30)) for i in range(5))
     copies = [(i, body) for i in range(60)] + [(100 + i, body + f"\nlast line of copy {i} here") for i in range(40)]
