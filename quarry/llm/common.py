@@ -241,7 +241,7 @@ def connected_components(spark: SparkSession, edges: DataFrame, work: Work, tag:
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
     e, was, k = work.write(e, f"{tag}-0"), None, 0
     while True:
-        now = e.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h"), F.sum("v").alias("v")).first()
+        now = e.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h"), F.sum(F.col("v").cast("decimal(38,0)")).alias("v")).first()
         if now == was:
             return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select("v", "v").distinct())
         was = now

@@ -14,15 +14,17 @@ are dropped everywhere.
   are frequent in a large corpus are still a field at a higher level than the rest
   of the line. A template needs ``min_const`` constants, and ``similar`` of its tokens.
   Unlike a sequential parser's, templates don't depend on the order of lines.
-* A line is dropped if one of its templates recurs. A template recurs if it is found in ``min_docs`` different documents. Exact
-  copies of a text count once, and texts that share their smallest shingle hash
-  (so, most likely, near copies) count once; if these leave less than ``diverse``
-  of the distinct texts, the lines are those of a group of copies, which is for
-  document deduplication to settle, and stay.
+* A line is dropped if one of its templates recurs. A template recurs if it is found
+  in ``min_docs`` different groups of documents. A group is a component of near
+  duplicates, as the near-duplicate operator finds them, so copies and near copies
+  count once, and documents that have no more in common than a passage to be dropped
+  count each. If the groups are less than ``diverse`` of the distinct texts, the
+  lines are those of a group of copies, which is for document deduplication to
+  settle, and stay.
 
 Counting is by aggregates that combine before they shuffle; no line's documents
 meet in one task. Texts are shuffled twice: to tokenise the lines of frequent
-leaves, and to drop lines.
+leaves, and to drop lines; those with frequent templates also to group near copies.
 
 Edge cases: null texts stay null and have no lines; empty texts have one empty
 line. Lines of fewer than ``min_tokens`` tokens are never dropped. A text all of
@@ -39,7 +41,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, U64, Chunk, Work, byte_table, chunks, mix, ngram_hashes, table
+from .common import SPACE_WORDS, U64, Chunk, Work, byte_table, chunks, mix, table
+from .near_dedup import near_duplicates
 
 _LINE = byte_table([0x0A])
 _DIGIT = np.zeros(256, bool)
@@ -55,7 +58,7 @@ class Lines:
         # the number of a line: line feeds of its text before it
         feeds = np.concatenate([[0], np.cumsum(chunk.buf == 0x0A)])
         self.number = feeds[starts] - feeds[chunk.offs[self.of]]
-        ts, te, self.text_of = chunk.words(SPACE_WORDS)
+        ts, te, _ = chunk.words(SPACE_WORDS)
         self.token = chunk.hashes(ts, te)
         digits = np.concatenate([[0], np.cumsum(_DIGIT[chunk.buf])])
         self.digit = digits[te] > digits[ts]
@@ -89,12 +92,6 @@ def _tokens(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, chunk in chunks(batches):
             x = Lines(chunk, depth)
-            grams = ngram_hashes(x.token, 4)
-            first = np.searchsorted(x.text_of, np.arange(chunk.n + 1))
-            least = np.zeros(chunk.n, np.uint64)
-            for i in range(chunk.n):
-                a, b = first[i], first[i + 1]
-                least[i] = grams[a : b - 3].min() if b - a >= 4 else x.token[a:b].min() if b > a else 0
             whole = chunk.hashes(chunk.offs[:-1], chunk.offs[1:])
             wanted = batch.column(2)
             named = np.repeat(np.arange(chunk.n), np.asarray(wanted.value_lengths()))
@@ -114,10 +111,9 @@ def _tokens(depth: int):
                     pa.array(x.leaf[at].view(np.int64)),
                     pa.array(line.view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(offs), pa.array(tokens.view(np.int64))),
-                    pa.array(least[x.of[at]].view(np.int64)),
                     pa.array(whole[x.of[at]].view(np.int64)),
                 ],
-                ["row", "line", "leaf", "hash", "tokens", "near", "text"],
+                ["row", "line", "leaf", "hash", "tokens", "text"],
             )
 
     return run
@@ -155,7 +151,7 @@ def drop_recurring_lines(
     frequent = work.write(frequent, "frequent")
     wanted = lines.join(frequent.hint("merge"), "leaf").groupBy("row").agg(F.collect_set("line").alias("lines"))
     read = docs.select("row", "text").join(wanted.hint("merge"), "row")
-    lines = work.write(read.mapInArrow(_tokens(depth), "row long, line int, leaf long, hash long, tokens array<long>, near long, text long"), "lines")
+    lines = work.write(read.mapInArrow(_tokens(depth), "row long, line int, leaf long, hash long, tokens array<long>, text long"), "lines")
     work.drop("leaves")
     distinct = work.write(lines.groupBy("leaf", "hash").agg(F.count_distinct("row").alias("n"), F.first("tokens").alias("tokens")), "distinct")
     places = distinct.select("leaf", "hash", "n", F.size("tokens").alias("size"), F.posexplode("tokens").alias("at", "token"))
@@ -167,8 +163,15 @@ def drop_recurring_lines(
     kept = kept.where(F.size("c") >= min_const).select("leaf", "hash", "size", F.explode(sets).alias("c"))
     kept = kept.where((F.size("c") >= min_const) & (F.size("c") >= similar * F.col("size")))
     templates = work.write(kept.select("leaf", "hash", F.xxhash64("leaf", "c").alias("template")), "templates")
-    found = work.write(lines.select("row", "line", "leaf", "hash", "near", "text").join(templates.hint("merge"), ["leaf", "hash"]).select("row", "line", "template", "near", "text"), "found")
-    spread = found.groupBy("template", "near", "text").agg(F.lit(1)).groupBy("template", "near").agg(F.count("*").alias("texts"))
+    found = work.write(lines.select("row", "line", "leaf", "hash", "text").join(templates.hint("merge"), ["leaf", "hash"]).select("row", "line", "template", "text"), "found")
+    # only texts of templates that recur in different texts, copies or not, need groups
+    many = found.groupBy("template").agg(F.count_distinct("text").alias("texts")).where(F.col("texts") >= min_docs)
+    many = work.write(many.select("template"), "many")
+    open_ = work.write(found.join(many.hint("merge"), "template").select("template", "row", "text").distinct(), "open")
+    rows = work.write(open_.select("row").distinct(), "rows")
+    groups = near_duplicates(spark, docs.select("row", "text").join(rows.hint("merge"), "row", "left_semi").dropDuplicates(["row"]), id_col="row")
+    groups = work.write(groups.select(F.col("doc_id").alias("row"), F.col("component_id").alias("near")), "groups")
+    spread = open_.join(groups.hint("merge"), "row").groupBy("template", "near", "text").agg(F.lit(1)).groupBy("template", "near").agg(F.count("*").alias("texts"))
     spread = spread.groupBy("template").agg(F.count("*").alias("near"), F.sum("texts").alias("texts"))
     recurring = spread.where((F.col("near") >= min_docs) & (F.col("near") >= diverse * F.col("texts"))).select("template")
     recurring = work.write(recurring, "recurring")

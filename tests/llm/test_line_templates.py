@@ -74,6 +74,15 @@ def test_templates_do_not_fade_as_the_corpus_grows(spark, n):
     assert len(got) == n and all(r["dropped"] == [1] for r in got)
 
 
+@pytest.mark.parametrize(("n", "own"), [(50, 20), (400, 10)])
+def test_a_shared_passage_does_not_make_texts_copies(spark, n, own):
+    rng = random.Random(6)
+    passage = unrelated(rng, 60)
+    docs = [(d, f"{unrelated(rng, own)}\n{passage}") for d in range(n)]
+    got = drop_recurring_lines(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(got) == n and all(r["dropped"] == [1] for r in got)
+
+
 def test_lines_of_copies_stay(spark):
     body = "\n".join(" ".join(f"w{i}{j}" for j in range(30)) for i in range(5))
     copies = [(i, body) for i in range(60)] + [(100 + i, body + f"\nlast line of copy {i} here") for i in range(40)]
