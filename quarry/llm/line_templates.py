@@ -18,9 +18,8 @@ are dropped everywhere.
   in ``min_docs`` different groups of documents. A group is a component of near
   duplicates, as the near-duplicate operator finds them, so copies and near copies
   count once, and documents that have no more in common than a passage to be dropped
-  count each. If the groups are less than ``diverse`` of the distinct texts, the
-  lines are those of a group of copies, which is for document deduplication to
-  settle, and stay.
+  count each. Lines found in a single group of copies stay, which is for document
+  deduplication to settle; a group doesn't keep a line that enough others have.
 
 Counting is by aggregates that combine before they shuffle; no line's documents
 meet in one task. Texts are shuffled twice: to tokenise the lines of frequent
@@ -136,7 +135,6 @@ def drop_recurring_lines(
     min_tokens: int = 3,
     min_const: int = 3,
     similar: float = 0.6,
-    diverse: float = 0.3,
     columns: tuple[str, ...] = (),
 ) -> DataFrame:
     """Return doc_id, the named columns of docs, n_lines, n_dropped, dropped (line numbers from 0) and text (without them), one row per row of docs."""
@@ -167,13 +165,12 @@ def drop_recurring_lines(
     # only texts of templates that recur in different texts, copies or not, need groups
     many = found.groupBy("template").agg(F.count_distinct("text").alias("texts")).where(F.col("texts") >= min_docs)
     many = work.write(many.select("template"), "many")
-    open_ = work.write(found.join(many.hint("merge"), "template").select("template", "row", "text").distinct(), "open")
+    open_ = work.write(found.join(many.hint("merge"), "template").select("template", "row").distinct(), "open")
     rows = work.write(open_.select("row").distinct(), "rows")
     groups = near_duplicates(spark, docs.select("row", "text").join(rows.hint("merge"), "row", "left_semi").dropDuplicates(["row"]), id_col="row")
     groups = work.write(groups.select(F.col("doc_id").alias("row"), F.col("component_id").alias("near")), "groups")
-    spread = open_.join(groups.hint("merge"), "row").groupBy("template", "near", "text").agg(F.lit(1)).groupBy("template", "near").agg(F.count("*").alias("texts"))
-    spread = spread.groupBy("template").agg(F.count("*").alias("near"), F.sum("texts").alias("texts"))
-    recurring = spread.where((F.col("near") >= min_docs) & (F.col("near") >= diverse * F.col("texts"))).select("template")
+    spread = open_.join(groups.hint("merge"), "row").select("template", "near").distinct().groupBy("template").agg(F.count("*").alias("near"))
+    recurring = spread.where(F.col("near") >= min_docs).select("template")
     recurring = work.write(recurring, "recurring")
     dropped = found.join(recurring.hint("merge"), "template").groupBy("row").agg(F.array_sort(F.collect_set("line")).alias("dropped"))
     dropped = work.write(dropped, "dropped")

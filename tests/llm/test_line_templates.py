@@ -83,6 +83,25 @@ def test_a_shared_passage_does_not_make_texts_copies(spark, n, own):
     assert len(got) == n and all(r["dropped"] == [1] for r in got)
 
 
+@pytest.mark.parametrize("others", [0, 40])
+def test_a_group_of_near_copies_saves_no_line_of_others(spark, others):
+    rng = random.Random(7)
+    base = unrelated(rng, 300).split()
+
+    def copy():
+        words = list(base)
+        for at in rng.sample(range(300), 4):
+            words[at] = unrelated(rng, 1)
+        return "\n".join(" ".join(words[i : i + 50]) for i in range(0, 300, 50))
+
+    footer = "\nSubscribe to our newsletter today"
+    docs = [(d, copy() + footer) for d in range(500)] + [(1000 + d, unrelated(rng, 60) + footer) for d in range(others)]
+    got = drop_recurring_lines(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(got) == 500 + others
+    for r in got:
+        assert r["dropped"] == ([r["n_lines"] - 1] if others else None)
+
+
 def test_lines_of_copies_stay(spark):
     body = "\n".join(" ".join(f"w{i}{j}" for j in range(30)) for i in range(5))
     copies = [(i, body) for i in range(60)] + [(100 + i, body + f"\nlast line of copy {i} here") for i in range(40)]
