@@ -14,7 +14,10 @@ to go by (semantic tags, only class names, hardly either), so every label is
 known; callers with pages of their own pass them as ``training``.
 
 Edge cases: null and empty html, and pages without a main block, give an empty
-text. Unclosed, crossed and unknown tags are tolerated; unknown character
+text. Unclosed, crossed and unknown tags are tolerated: a head without an end tag
+ends at the first element that can't be in it, other elements without text to read
+(a button, a video) whose end tag is missing are ignored as tags, and only scripts,
+styles, titles and text areas then run to the end of the page. Unknown character
 references stay as they are. Whole pages are read, however long. Repeated rows
 get equal results; extra columns are ignored.
 """
@@ -38,7 +41,8 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object textarea title select button head canvas audio video".split())
+RAW = frozenset("script style noscript template svg math iframe object textarea title select button canvas audio video".split())
+PLAIN = frozenset("script style textarea title".split())  # of these, those in which a tag is text
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
     "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("thead", "tbody", "tr", "td", "th"),
@@ -78,6 +82,7 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, frozenset[str], bool | None]] = [("", frozenset(), None)]
     parts: list[str] = []
     linked = in_link = 0
+    unclosed: set[str] = set()  # tags without an end tag in the rest of the page
 
     def flush() -> None:
         nonlocal linked
@@ -109,6 +114,8 @@ def blocks(page: str) -> list[Block]:
         if m[2] is None:
             continue
         tag = m[2].lower()
+        if tag == "head":  # holds only void and skipped elements; all else ends it
+            continue
         if m[1]:
             n = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
             if tag in BLOCK:
@@ -119,8 +126,15 @@ def blocks(page: str) -> list[Block]:
                 pop_to(n)
             continue
         if tag in RAW:
-            end = _END[tag].search(page, at)
-            at = end.end() if end else size
+            if tag in ("svg", "math") and m[3].endswith("/"):
+                continue
+            end = None if tag in unclosed else _END[tag].search(page, at)
+            if end:
+                at = end.end()
+            elif tag in PLAIN:
+                at = size
+            else:
+                unclosed.add(tag)
             continue
         if tag == "br":
             parts.append(" ")

@@ -25,6 +25,19 @@ def test_parser_is_tolerant():
     assert [b.text for b in blocks(deep)] == ["deep"]
 
 
+def test_skipped_elements_without_end_tag():
+    texts = lambda page: [b.text for b in blocks(page)]
+    assert texts("<html><head><title>t</title><meta charset=utf-8><style>p{}</style><body><p>x<p>y") == ["x", "y"]
+    assert texts("<head><title>t</title><article><p>x</article>") == ["x"] and texts("<head><title>t</title>x<p>y") == ["x", "y"]
+    assert texts("<head><title>t</title></head><p>x") == ["x"] and texts("<head><script>a</script><noscript>n</noscript></head>") == []
+    for tag in "noscript template svg math iframe object select button canvas audio video".split():
+        assert texts(f"<p>a<{tag} class=c><p>b</p><p>c") == ["a", "b", "c"]
+        assert texts(f"<p>a<{tag}>no</{tag}> b<{tag}>c") == ["a bc"]
+    assert texts("<p>a <svg/> b <math /> c</p><svg>no</svg>d") == ["a b c", "d"]
+    for tag in "script style textarea title".split():
+        assert texts(f"<p>a<{tag}><p>b") == ["a"]
+
+
 def test_held_out_labels():
     field = default_field()
     pages = [p for p in map(blocks, labelled_pages(120, seed=77)) if p]
