@@ -13,13 +13,14 @@ at once; matching rows walk back with LF-mapping to the next sampled position.
 Occurrences mark their words, and marked words merge into removal spans.
 
 The benchmark is read in blocks of bounded bytes; only one block's windows are
-sent to the executors at a time, and each block is held against all texts.
+sent to the executors at a time, and each block is held against all texts. Each
+block's findings are handed on with the row to the next block and merged there, so
+the number of blocks doesn't show in the result.
 
 Edge cases: null and empty texts have no words, no spans and no items. Items
 without words or without an id take no part. An item of fewer words than a
 window is one window. Items with equal windows are all reported. Repeated rows
-of documents are each reported while the benchmark fits one block, else merged
-by doc_id. An empty benchmark or table gives empty findings.
+of documents, and rows without an id, are each reported. An empty benchmark or table gives empty findings.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORDS, Chunk, carrying, chunks, table, tune
+from .common import ALNUM_WORDS, Chunk, Work, carrying, chunks, table, tune
 
 SPAN = "array<struct<start:int,end:int>>"
 
@@ -160,12 +161,16 @@ class FMIndex:
         return found, at
 
 
-def _scan(shared, carried: int):
+def _scan(shared, carried: int, later: bool = False):
+    """The findings of a block; of a later one with those of earlier blocks, the last two columns (word_spans, items)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w: Windows = shared.value
         for batch, chunk in chunks(batches):
             starts, ends, of = chunk.words(ALNUM_WORDS)
             n_words = np.bincount(of, minlength=chunk.n)
+            first = np.concatenate([[0], np.cumsum(n_words)])
+            through = slice(carried, -2 if later else None)
             hit = np.zeros(len(starts) + 1, dtype=np.int64)
             pairs = np.zeros((0, 2), dtype=np.int64)
             if len(w.length) and len(starts):
@@ -192,12 +197,19 @@ def _scan(shared, carried: int):
                     item = np.repeat(w.item_at[found] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(int(count.sum()))
                     if len(item):
                         pairs = np.unique(np.stack([np.repeat(of[at], count), w.item[item]], axis=1), axis=0)
+            if later:
+                spans_were, items_were = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+                base = np.repeat(first[:-1], np.asarray(spans_were.value_lengths()))
+                was = spans_were.flatten()
+                np.add.at(hit, base + np.asarray(was.field("start")), 1)
+                np.add.at(hit, base + np.asarray(was.field("end")), -1)
+                old = np.repeat(np.arange(chunk.n), np.asarray(items_were.value_lengths()))
+                pairs = np.unique(np.concatenate([pairs, np.stack([old, np.asarray(items_were.flatten(), dtype=np.int64)], axis=1)]), axis=0)
             mark = np.cumsum(hit[:-1]) > 0
             n_hit = np.bincount(of[mark], minlength=chunk.n)
             edge = mark & np.concatenate([[True], ~mark[:-1] | (of[1:] != of[:-1])])[: len(mark)]
             last = mark & np.concatenate([~mark[1:] | (of[1:] != of[:-1]), [True]])[: len(mark)]
             a, b = np.flatnonzero(edge), np.flatnonzero(last)
-            first = np.concatenate([[0], np.cumsum(n_words)])
             n_spans = np.concatenate([[0], np.cumsum(np.bincount(of[a], minlength=chunk.n))]).astype(np.int32)
             n_items = np.concatenate([[0], np.cumsum(np.bincount(pairs[:, 0], minlength=chunk.n))]).astype(np.int32)
 
@@ -208,30 +220,19 @@ def _scan(shared, carried: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    *batch.columns[carried:],
+                    *batch.columns[through],
                     pa.array(n_words.astype(np.int64)),
                     pa.array(n_hit.astype(np.int64)),
                     spans(a - first[of[a]], b + 1 - first[of[b]]),
                     spans(starts[a] - chunk.offs[of[a]], ends[b] - chunk.offs[of[b]]),
                     pa.ListArray.from_arrays(pa.array(n_items), pa.array(pairs[:, 1])),
                 ],
-                ["doc_id", *batch.schema.names[carried:], "n_words", "n_hit", "word_spans", "byte_spans", "items"],
+                ["doc_id", *batch.schema.names[through], "n_words", "n_hit", "word_spans", "byte_spans", "items"],
             )
 
     return run
 
 
-def _merge(spans: Column) -> Column:
-    """Sorted spans with those that overlap or touch joined."""
-
-    def add(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
-        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] >= x["start"]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(done, F.array(x)))
-
-    return F.aggregate(F.array_sort(spans), F.array().cast(SPAN), add)
-
-
 def contamination(
     spark: SparkSession,
     docs: DataFrame,
@@ -250,25 +251,19 @@ def contamination(
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, ceil(total / block_bytes))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {names}n_words long, n_hit long, word_spans {SPAN}, byte_spans {SPAN}, items array<long>"
-    parts = []
+    every = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    work = Work(spark, "blocks")
     for k in range(n_blocks):
         block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k) if n_blocks > 1 else items
         windows = Windows([(r[0], r[1]) for r in block.collect()], width)  # at most about block_bytes
-        parts.append(docs.mapInArrow(_scan(spark.sparkContext.broadcast(windows), carried), schema))
-    if n_blocks == 1:
-        return parts[0]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
-    found = found.groupBy("doc_id").agg(
-        *(F.first(c).alias(c) for c in columns),
-        F.max("n_words").alias("n_words"),
-        _merge(F.flatten(F.collect_list("word_spans"))).alias("word_spans"),
-        _merge(F.flatten(F.collect_list("byte_spans"))).alias("byte_spans"),
-        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-    )
-    n_hit = F.aggregate("word_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return found.select("doc_id", *columns, "n_words", n_hit.alias("n_hit"), "word_spans", "byte_spans", "items")
+        shared = spark.sparkContext.broadcast(windows)
+        if k == n_blocks - 1:
+            return docs.mapInArrow(_scan(shared, carried, k > 0), schema)
+        # written, so that a task holds one block's windows at a time
+        found = docs.mapInArrow(_scan(shared, 1, k > 0), f"{every}, n_words long, n_hit long, word_spans {SPAN}, byte_spans {SPAN}, items array<long>")
+        docs = work.write(found.drop("n_words", "n_hit", "byte_spans"), f"block-{k}")
+        shared.unpersist()
+        work.drop(f"block-{k - 1}")
 
 
 def without_spans(text: Column, spans: Column) -> Column:

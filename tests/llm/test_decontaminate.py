@@ -47,6 +47,17 @@ def test_against_brute_force(spark, seed, block):
     assert got == brute(docs, items, 8)
 
 
+def test_blocks_do_not_show_in_the_result(spark):
+    docs, items = case(4)
+    docs += [(None, "one text without an id"), (None, docs[0][1]), docs[1], docs[1], (docs[2][0], docs[3][1] + " other")]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string").withColumn("lang", F.lit("en")), spark.createDataFrame(items, "item_id long, text string")
+    once, often = (
+        sorted(repr((r["doc_id"], r["text"], r["lang"], r["n_words"], r["n_hit"], r["word_spans"], r["byte_spans"], sorted(r["items"]))) for r in contamination(spark, docs, items, block_bytes=b, columns=("lang", "text")).collect())
+        for b in (8 << 20, 120)
+    )
+    assert len(once) == 36 and once == often
+
+
 def test_index_counts_and_locates():
     rng = np.random.default_rng(1)
     for size in (1, 2, 7, 300):
