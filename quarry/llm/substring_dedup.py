@@ -4,7 +4,7 @@ The aim: find every ``length``-byte string that also starts in a text of smaller
 id, and remove the bytes that such strings cover. Ranks of the prefixes of
 positions are doubled until the prefix is unique or reaches ``length``:
 
-* Inside a shard ranks are fingerprints, doubled at offsets 1, 2, 4, 8, ... up
+* Inside a chunk of texts ranks are fingerprints, doubled at offsets 1, 2, 4, 8, ... up
   to the seed length k = length // 2 + 1: rank(p, 2j) = mix(rank(p, j), rank(p + j, j)).
 * Only some positions take part in what Spark sorts. Each window of
   ``length - k + 1`` consecutive k-byte prefixes nominates the one of smallest
@@ -13,38 +13,51 @@ positions are doubled until the prefix is unique or reaches ``length``:
   no string is missed. About 1 in 13 positions is nominated.
 * Round 1: Spark deals the ranks of nominated positions by rank; each partition
   sorts its ranks. Positions whose prefix lies in one text only are dropped.
-* Round 2: each position left pairs its rank with the bytes up to the threshold
-  on either side (offsets -(length - k) and +k). Spark deals the pairs by the
-  first rank; each partition sorts and reranks them. Pairs with equal
-  neighbourhoods are one entry that keeps the smallest id, so a group of copies
-  is reduced before its strings are told apart. Past the threshold, what remains
-  is, for each of the ``length``-byte strings around a position, the smallest id
-  that has it.
+* Round 2: each position left comes with the bytes up to the threshold on either
+  side. Spark deals them by the rank of the prefix; each partition reranks the
+  extensions of every prefix to the left and to the right, by sorting their bytes,
+  and a string is the pair of the ranks of its two sides. Equal neighbourhoods are
+  one entry that keeps the smallest id, so a group of near copies is reduced before
+  its strings are told apart. Past the threshold, what remains is, for each of the
+  ``length``-byte strings around a position, the smallest id that has it.
 * A seed in more than ``hot_texts`` texts would bring a position of each of them into
   one task. Its strings are dealt one by one instead, by their own fingerprints, after
-  each shard has reduced them to the smallest id; the shards learn which of their
-  strings others have with a smaller id, and mark them themselves.
+  each part of the texts has reduced them to the smallest id; the parts learn which of
+  their strings others have with a smaller id, and mark them themselves.
 * Texts with equal content count once in these rounds: of n exact copies only
-  the one of smallest id is compared; the others are covered wholly.
+  the one of smallest id is compared, in one row; the others are covered wholly.
 
-What travels in both rounds is packed: a row holds the sorted numbers of one
-batch of texts for one partition. Rank collisions: round 1 compares 40 bits,
-where a chance hit only costs work; round 2 compares 64 bits and all the bytes.
+``every_position`` is the method without nomination: Spark sorts a pair of ranks for
+each byte in each of seven rounds. The tests hold both against brute force; README has
+what each of them costs.
+
+What travels in both rounds is packed: a row holds the sorted numbers of one part of
+the texts for one bucket of the ranks. There are as many parts as buckets, and both
+grow with the square root of the input, so the rows of every step are about one for
+``row_bytes`` bytes of text at any size, as is the number of bytes of a part, which is
+the geometric mean of the input's and ``row_bytes``.
+
+Rank collisions: round 1 compares 40 bits, where a chance hit only costs work. Round 2
+compares bytes. Strings of seeds in more than ``hot_texts`` texts are equal if 64 bits
+agree; two different ones are taken for one with a chance of 2 ** -64 a pair.
 
 Edge cases: null and empty texts have no bytes. Texts shorter than ``length``
 are kept whole. Repeats within one text are not removed. Rows that repeat an id
-are the same document: none of them covers another. Null ids come after all
-others. Extra columns are ignored. An empty table gives an empty result.
+are one document, with one text or several: none of them covers another, and each
+loses what its own text shares with smaller ids. Rows without an id come after all
+others and count as one document as well. Extra columns are ignored. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from math import ceil
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +65,7 @@ from .common import BYTE_CODE, U64, Chunk, Work, chunks, mix, partitions, table
 
 LOW40 = U64((1 << 40) - 1)
 TEXT_BYTES = 1 << 18  # of a chunk: numpy's arrays are then about 2 MB each and stay in the cache
+HELD = 64 << 20  # bytes of seeds that a task holds, to deal them in larger rows
 NEVER = np.iinfo(np.int64).max
 
 
@@ -121,39 +135,57 @@ def _groups(x: np.ndarray) -> Iterator[tuple[int, int]]:
         yield from zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
 
 
+def _batch(schema: dict[str, pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.values(), strict=True)], list(schema))
+
+
+_SEEDS = {"bucket": pa.int32(), "ids": pa.binary(), "parts": pa.binary(), "seeds": pa.binary(), "of": pa.binary()}
+_SHARED = {"part": pa.int32(), "bucket": pa.int32(), "hot": pa.bool_(), "seeds": pa.binary()}
+_PAIRS = {"bucket": pa.int32(), "kind": pa.int32(), "part": pa.int32(), "data": pa.binary()}
+_FOUND = {"part": pa.int32(), "kind": pa.int32(), "data": pa.binary()}
+
+
+def _ddl(schema: dict[str, pa.DataType]) -> str:
+    names = {pa.int32(): "int", pa.int64(): "long", pa.bool_(): "boolean", pa.binary(): "binary", pa.string(): "string"}
+    return ", ".join(f"{c} {names[t]}" for c, t in schema.items())
+
+
 def _emit_seeds(length: int, n: int):
-    """Rows (bucket, ids, shards, seeds, of): the distinct ranks of a batch's texts."""
+    """One row a bucket for the distinct ranks of each text, of as many texts as ``HELD`` allows."""
+
+    def settle(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        done = np.cumsum([0, *(len(h[0]) for h in held)])
+        ids, parts, rank = (np.concatenate([h[i] for h in held]) for i in (0, 1, 3))
+        of = np.concatenate([h[2] + d for h, d in zip(held, done, strict=False)])
+        bucket, rank = _bucket(rank, n), rank & LOW40
+        order = np.lexsort((of, rank, bucket))
+        of, rank, bucket = of[order], rank[order], bucket[order]
+        new = np.concatenate([[True], (rank[1:] != rank[:-1]) | (of[1:] != of[:-1]) | (bucket[1:] != bucket[:-1])])[: len(of)]
+        of, rank, bucket = of[new], rank[new], bucket[new]
+        rows = []
+        for a, b in _groups(bucket):
+            texts, local = np.unique(of[a:b], return_inverse=True)
+            rows.append((int(bucket[a]), ids[texts].tobytes(), parts[texts].tobytes(), _low5(rank[a:b]).tobytes(), local.astype(np.uint32).tobytes()))
+        return _batch(_SEEDS, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            ofs, ranks_, done = [], [], 0
-            for batch, chunk in chunks(iter([whole]), most=TEXT_BYTES):
-                of, _, rank = _seeds(chunk, length)
-                ofs.append(of + done)
-                ranks_.append(rank)
-                done += batch.num_rows
-            if not done:
-                continue
-            of, rank = np.concatenate(ofs), np.concatenate(ranks_)
-            bucket = _bucket(rank, n)
-            order = np.lexsort((of, rank & LOW40, bucket))
-            of, rank, bucket = of[order], (rank & LOW40)[order], bucket[order]
-            new = np.concatenate([[True], (rank[1:] != rank[:-1]) | (of[1:] != of[:-1]) | (bucket[1:] != bucket[:-1])])[: len(of)]
-            of, rank, bucket = of[new], rank[new], bucket[new]
-            ids = np.asarray(whole.column(0), dtype=np.int64)
-            shards = np.asarray(whole.column(2), dtype=np.int32)
-            out: list[list] = [[], [], [], [], []]
-            for a, b in _groups(bucket):
-                texts, local = np.unique(of[a:b], return_inverse=True)
-                for x, y in zip(out, (int(bucket[a]), ids[texts].tobytes(), shards[texts].tobytes(), _low5(rank[a:b]).tobytes(), local.astype(np.uint32).tobytes()), strict=True):
-                    x.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], ["bucket", "ids", "shards", "seeds", "of"])
+        held, size = [], 0
+        for batch, chunk in chunks(batches, most=TEXT_BYTES):
+            of, _, rank = _seeds(chunk, length)
+            held.append((np.asarray(batch.column(0), dtype=np.int64), np.asarray(batch.column(2), dtype=np.int32), of, rank))
+            size += 16 * len(rank) + 12 * chunk.n
+            if size >= HELD:
+                yield settle(held)
+                held, size = [], 0
+        if held:
+            yield settle(held)
 
     return run
 
 
 def _shared_seeds(hot: int):
-    """Rows (shard, bucket, hot, seeds): ranks that lie in two texts or more, for each shard that has them.
+    """Rows (part, bucket, hot, seeds): ranks that lie in two texts or more, for each part of the texts that has them.
 
     Those in more than ``hot`` texts come in rows of their own. Reads one bucket after
     another: rows come sorted by bucket.
@@ -163,25 +195,20 @@ def _shared_seeds(hot: int):
         seed = np.concatenate([_from5(s) for _, _, s, _ in rows])
         local = [np.frombuffer(o, np.uint32) for *_, o in rows]
         ids = np.concatenate([np.frombuffer(i, np.int64)[o] for (i, *_), o in zip(rows, local, strict=True)])
-        shard = np.concatenate([np.frombuffer(s, np.int32)[o] for (_, s, *_), o in zip(rows, local, strict=True)])
+        part = np.concatenate([np.frombuffer(s, np.int32)[o] for (_, s, *_), o in zip(rows, local, strict=True)])
         order = np.argsort(seed, kind="stable")
-        seed, ids, shard = seed[order], ids[order], shard[order]
+        seed, ids, part = seed[order], ids[order], part[order]
         start = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]]))
         size = np.diff(np.append(start, len(seed)))
         several = np.minimum.reduceat(ids, start) < np.maximum.reduceat(ids, start)
         keep = np.repeat(several, size)
         many = np.repeat(size > hot, size)[keep].astype(np.int64)
-        seed, shard = seed[keep], shard[keep].astype(np.int64)
-        order = np.lexsort((seed, many, shard))
-        seed, row = seed[order], (shard * 2 + many)[order]
+        seed, part = seed[keep], part[keep].astype(np.int64)
+        order = np.lexsort((seed, many, part))
+        seed, row = seed[order], (part * 2 + many)[order]
         new = np.concatenate([[True], (seed[1:] != seed[:-1]) | (row[1:] != row[:-1])])[: len(seed)]
         seed, row = seed[new], row[new]
-        out: list[list] = [[], [], [], []]
-        for a, b in _groups(row):
-            for x, y in zip(out, (int(row[a]) // 2, bucket, bool(row[a] % 2), _low5(seed[a:b]).tobytes()), strict=True):
-                x.append(y)
-        types = (pa.int32(), pa.int32(), pa.bool_(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], ["shard", "bucket", "hot", "seeds"])
+        return _batch(_SHARED, [(int(row[a]) // 2, bucket, bool(row[a] % 2), _low5(seed[a:b]).tobytes()) for a, b in _groups(row)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows = None, []
@@ -198,74 +225,65 @@ def _shared_seeds(hot: int):
     return run
 
 
-class _Sites:
-    """The nominated positions of a shard's texts whose seed is among the given ones, with the bytes around them."""
-
-    def __init__(self, texts: pa.Table, seeds: list[tuple[int, bytes]], length: int, n: int):
-        k = length // 2 + 1
-        side = length - k
-        known = np.unique(np.concatenate([_from5(s) * U64(n) + U64(b) for b, s in seeds])) if seeds else np.zeros(0, np.uint64)
-        parts: list[list[np.ndarray]] = [[] for _ in range(6)]
-        batches = texts.select(["id", "text"]).to_batches(max_chunksize=2000) if len(known) else []
-        for batch, chunk in chunks(iter(batches), most=TEXT_BYTES):
-            of, at, rank = _seeds(chunk, length)
-            full = (rank & LOW40) * U64(n) + _bucket(rank, n).astype(np.uint64)
-            place = np.minimum(np.searchsorted(known, full), len(known) - 1)
-            keep = known[place] == full
-            of, at, rank = of[keep], at[keep], rank[keep]
-            left = np.minimum(side, at - chunk.offs[of])
-            right = np.minimum(side, chunk.offs[of + 1] - at - k)
-            wide = np.concatenate([np.zeros(side, np.uint8), chunk.buf, np.zeros(side, np.uint8)])
-            around = np.zeros((len(at), 2 * side), np.uint8)
-            # the left side is reversed, so that either side is a prefix
-            around[:, :side] = wide[(at + side - 1)[:, None] - np.arange(side)]
-            around[:, side:] = wide[(at + side + k)[:, None] + np.arange(side)]
-            around[:, :side][np.arange(side) >= left[:, None]] = 0
-            around[:, side:][np.arange(side) >= right[:, None]] = 0
-            ids = np.asarray(batch.column(0), dtype=np.int64)[of]
-            for x, y in zip(parts, (rank, ids, at - chunk.offs[of], left, right, around), strict=True):
-                x.append(y)
-        empty = (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4)), np.zeros((0, 2 * side), np.uint8))
-        self.rank, self.ids, self.at, self.left, self.right, self.around = (np.concatenate(x) if x else e for x, e in zip(parts, empty, strict=True))
-
-    def among(self, seeds: list[tuple[int, bytes]], n: int) -> np.ndarray:
-        if not seeds:
-            return np.zeros(len(self.rank), bool)
-        known = np.concatenate([_from5(s) * U64(n) + U64(b) for b, s in seeds])
-        return np.isin((self.rank & LOW40) * U64(n) + _bucket(self.rank, n).astype(np.uint64), known)
-
-    def where(self, keep: np.ndarray) -> _Sites:
-        out = object.__new__(_Sites)
-        for name, value in vars(self).items():
-            setattr(out, name, value[keep])
-        return out
-
-    def numbers(self) -> np.ndarray:
-        return np.stack([self.rank.view(np.int64), self.ids, self.at, self.left * 256 + self.right], axis=1)
-
-    @staticmethod
-    def packed(numbers: bytes, around: bytes, side: int) -> _Sites:
-        out, m = object.__new__(_Sites), np.frombuffer(numbers, np.int64).reshape(-1, 4)
-        out.rank, out.ids, out.at, out.left, out.right = m[:, 0].view(np.uint64), m[:, 1], m[:, 2], m[:, 3] // 256, m[:, 3] % 256
-        out.around = np.frombuffer(around, np.uint8).reshape(-1, 2 * side)
-        return out
-
-
-def _string_keys(rank: np.ndarray, around: np.ndarray, left: np.ndarray, right: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each position the fingerprints of the strings from 0, 1, ... bytes before it, and which of them lie in the text.
+def _site(length: int) -> np.dtype:
+    """A nominated position: its text by number in its part, its place, how many bytes of the text lie on either side of
+    the seed, up to the threshold, and those bytes: the left ones reversed, the seed, the right ones."""
+    side = length - length // 2 - 1
+    return np.dtype([("id", "<i8"), ("text", "<u4"), ("at", "<u4"), ("left", "<u2"), ("right", "<u2"), ("around", "u1", (length + side,))])
+
+
+def _in_order(texts: pa.Table) -> pa.Table:
+    """The texts of a part in an order that every step finds again."""
+    return texts.take(pc.sort_indices(texts, sort_keys=[("id", "ascending"), ("key", "ascending")]))
+
+
+def _sites(texts: pa.Table, seeds: list[tuple[int, bytes]], length: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The nominated positions of a part's texts whose seed is among the given ones, and their ranks."""
+    k = length // 2 + 1
+    side = length - k
+    out, ranks_, done = [np.zeros(0, _site(length))], [np.zeros(0, np.uint64)], 0
+    known = np.unique(np.concatenate([_from5(s) * U64(n) + U64(b) for b, s in seeds])) if seeds else np.zeros(0, np.uint64)
+    for batch, chunk in chunks(iter(texts.select(["id", "text"]).to_batches(max_chunksize=2000) if len(known) else []), most=TEXT_BYTES):
+        of, at, rank = _seeds(chunk, length)
+        full = (rank & LOW40) * U64(n) + _bucket(rank, n).astype(np.uint64)
+        keep = known[np.minimum(np.searchsorted(known, full), len(known) - 1)] == full
+        of, at, rank = of[keep], at[keep], rank[keep]
+        x = np.zeros(len(at), _site(length))
+        x["id"], x["text"], x["at"] = np.asarray(batch.column(0), dtype=np.int64)[of], of + done, at - chunk.offs[of]
+        x["left"] = np.minimum(side, at - chunk.offs[of])
+        x["right"] = np.minimum(side, chunk.offs[of + 1] - at - k)
+        wide = np.concatenate([np.zeros(side, np.uint8), chunk.buf, np.zeros(side, np.uint8)])
+        before = wide[(at + side - 1)[:, None] - np.arange(side)]
+        after = wide[(at + side)[:, None] + np.arange(k + side)]
+        before[np.arange(side) >= x["left"][:, None]] = 0
+        after[:, k:][np.arange(side) >= x["right"][:, None]] = 0
+        x["around"][:, :side], x["around"][:, side:] = before, after
+        out.append(x)
+        ranks_.append(rank)
+        done += chunk.n
+    return np.concatenate(out), np.concatenate(ranks_)
+
+
+def _fits(x: np.ndarray, side: int) -> np.ndarray:
+    """Which of the strings from 0, 1, ... bytes before a position lie in its text."""
+    o = np.arange(side + 1)
+    return (x["left"][:, None] >= o) & (x["right"][:, None] >= side - o)
+
+
+def _string_keys(rank: np.ndarray, x: np.ndarray, side: int) -> np.ndarray:
+    """Of each position the fingerprints of the strings from 0, 1, ... bytes before it.
 
     Ranks of the prefixes of either side are doubled up byte by byte; a string's pairs
     the rank of what lies before the seed with that of what lies behind it.
     """
+    sides = x["around"][:, :side], x["around"][:, -side:] if side else x["around"][:, :0]
     pre = np.zeros((2, len(rank), side + 1), np.uint64)
-    for s in range(2):
+    for s, around in enumerate(sides):
         pre[s, :, 0] = h = mix(rank + U64(s))
         for j in range(side):
-            h = mix(h * U64(0x9E3779B97F4A7C15) + BYTE_CODE[around[:, s * side + j]])
+            h = mix(h * U64(0x9E3779B97F4A7C15) + BYTE_CODE[around[:, j]])
             pre[s, :, j + 1] = h
-    o = np.arange(side + 1)
-    keys = mix(pre[0] * U64(0xD6E8FEB86659FD93) + pre[1][:, ::-1] + o.astype(np.uint64))
-    return keys, (left[:, None] >= o) & (right[:, None] >= side - o)
+    return mix(pre[0] * U64(0xD6E8FEB86659FD93) + pre[1][:, ::-1] + np.arange(side + 1).astype(np.uint64))
 
 
 def _least(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -276,196 +294,199 @@ def _least(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[new], ids[new]
 
 
+def _as_words(rows: np.ndarray) -> list[np.ndarray]:
+    """Columns of numbers whose order, the last column first, is that of the rows of bytes."""
+    wide = np.zeros((len(rows), rows.shape[1] + -rows.shape[1] % 8), np.uint8)
+    wide[:, : rows.shape[1]] = rows
+    return [c.astype(np.uint64) for c in wide.view(">u8").T[::-1]]
+
+
+def _reranked(seed: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """For 0, 1, ... bytes of a side, ranks of the seed followed by those bytes: equal for equal bytes only."""
+    rows = np.concatenate([seed, side], axis=1)
+    order = np.lexsort(_as_words(rows))
+    rows = rows[order]
+    differs = rows[1:] != rows[:-1]
+    first = np.where(differs.any(axis=1), differs.argmax(axis=1), rows.shape[1])  # the first byte that differs from the row before
+    out = np.zeros((len(rows), side.shape[1] + 1), np.int64)
+    out[order[1:]] = np.cumsum(first[:, None] < seed.shape[1] + np.arange(side.shape[1] + 1), axis=0)
+    return out
+
+
 def _emit_pairs(length: int, n: int):
-    """For one shard: rows (bucket, kind, shard, numbers, around).
+    """For one part of the texts: rows (bucket, kind, part, data).
 
-    Kind 0: the nominated positions whose seed is shared, with the bytes around them.
+    Kind 0: the nominated positions whose seed is shared.
     Kind 1: of seeds in very many texts the strings around a position, one entry a string
-    with the smallest id of the shard, dealt by string.
-    Kind 2: those positions themselves, on their way to the last step.
+    with the smallest id of the part, dealt by string.
+    Kind 2: those positions themselves, and their ranks, on their way to the last step.
     """
     side = length - length // 2 - 1
 
     def run(key: tuple[pa.Scalar, ...], texts: pa.Table, seeds: pa.Table) -> pa.Table:
-        rows = list(zip(*(seeds.column(c).to_pylist() for c in ("bucket", "hot", "seeds")), strict=True))
-        out: list[list] = [[], [], [], [], []]
-
-        def emit(bucket: int, kind: int, numbers: np.ndarray, around: np.ndarray | None) -> None:
-            for y, z in zip(out, (bucket, kind, key[0].as_py(), numbers.tobytes(), b"" if around is None else around.tobytes()), strict=True):
-                y.append(z)
-
-        x = _Sites(texts, [(b, s) for b, _, s in rows], length, n)
-        hot = x.among([(b, s) for b, h, s in rows if h], n)
-        bucket = _bucket(x.rank, n)
+        part, rows = key[0].as_py(), list(zip(*(seeds.column(c).to_pylist() for c in ("bucket", "hot", "seeds")), strict=True))
+        x, rank = _sites(_in_order(texts), [(b, s) for b, _, s in rows], length, n)
+        bucket = _bucket(rank, n)
+        known = [_from5(s) * U64(n) + U64(b) for b, h, s in rows if h]
+        hot = np.isin((rank & LOW40) * U64(n) + bucket.astype(np.uint64), np.concatenate(known)) if known else np.zeros(len(rank), bool)
+        out = []
         order = np.flatnonzero(~hot)
         order = order[np.argsort(bucket[order], kind="stable")]
-        numbers, around = x.numbers()[order], x.around[order]
         for a, b in _groups(bucket[order]):
-            emit(int(bucket[order[a]]), 0, numbers[a:b], around[a:b])
+            out.append((int(bucket[order[a]]), 0, part, x[order[a:b]].tobytes()))
         if hot.any():
-            x = x.where(hot)
-            emit(int(key[0].as_py()) % n, 2, x.numbers(), x.around)
-            keys, fits = _string_keys(x.rank, x.around, x.left, x.right, side)
-            keys, ids = _least(keys[fits], np.broadcast_to(x.ids[:, None], fits.shape)[fits])
+            x, rank = x[hot], rank[hot]
+            out.append((part % n, 2, part, x.tobytes() + rank.tobytes()))
+            fits = _fits(x, side)
+            keys, ids = _least(_string_keys(rank, x, side)[fits], np.broadcast_to(x["id"][:, None], fits.shape)[fits])
             bucket = (keys % U64(n)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             numbers = np.stack([keys.view(np.int64), ids], axis=1)[order]
             for a, b in _groups(bucket[order]):
-                emit(int(bucket[order[a]]), 1, numbers[a:b], None)
-        types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        return pa.table({c: pa.array(y, t) for c, y, t in zip(("bucket", "kind", "shard", "numbers", "around"), out, types, strict=True)})
+                out.append((int(bucket[order[a]]), 1, part, numbers[a:b].tobytes()))
+        return pa.Table.from_batches([_batch(_PAIRS, out)])
 
     return run
 
 
 def _covered(length: int):
-    """Rows (shard, kind, id, data), bucket by bucket.
+    """Rows (part, kind, data), bucket by bucket, one a part.
 
-    Kind 0: what a text shares with texts of smaller id, as spans merged within the bucket.
-    Kind 1: the strings of a shard, from very frequent seeds, that another shard has with a smaller id.
-    Kinds 2 and 3: the positions of such seeds, and the bytes around them, as they came.
+    Kind 0: what texts share with texts of smaller id, as (text, start, end), merged within the bucket.
+    Kind 1: the strings of a part, from very frequent seeds, that another part has with a smaller id.
+    Kind 2: the positions of such seeds as they came.
     """
-    side = length - length // 2 - 1
+    k = length // 2 + 1
+    side = length - k
 
     def spans(rows: list[tuple]) -> pa.RecordBatch:
-        numbers = np.concatenate([np.frombuffer(a, np.int64).reshape(-1, 4) for _, a, _ in rows])
-        around = np.concatenate([np.frombuffer(b, np.uint8).reshape(-1, 2 * side) for *_, b in rows])
-        rank, ids, at, reach = (numbers[:, i] for i in range(4))
-        wide = np.zeros((len(around), 2 * side + -(2 * side) % 8), np.uint8)
-        wide[:, : 2 * side] = around
-        words = wide.view(np.uint64)
-        # equal neighbourhoods of one rank are one entry: its smallest id stands for all
-        order = np.lexsort((ids, *(words[:, i] for i in range(words.shape[1])), reach, rank))
-        same = (rank[order[1:]] == rank[order[:-1]]) & (reach[order[1:]] == reach[order[:-1]]) & (words[order[1:]] == words[order[:-1]]).all(axis=1)
+        each = [np.frombuffer(d, _site(length)) for _, d in rows]
+        x, part = np.concatenate(each), np.repeat(np.array([p for p, _ in rows], np.int64), [len(e) for e in each])
+        reach = x["left"].astype(np.uint64) << U64(16) | x["right"]
+        words = _as_words(x["around"])
+        mixed = mix(reach)
+        for w in words:
+            mixed = mix(mixed * U64(0x9E3779B97F4A7C15) + w)
+        # equal neighbourhoods are one entry: its smallest id stands for all
+        order = np.lexsort((x["id"], mixed))
+        same = (mixed[order[1:]] == mixed[order[:-1]]) & (reach[order[1:]] == reach[order[:-1]])
+        for w in words:
+            same &= w[order[1:]] == w[order[:-1]]
         start = np.flatnonzero(np.concatenate([[True], ~same]))
         entry = np.empty(len(order), np.int64)
         entry[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(order))))
-        first = order[start]  # of each entry, a position with the smallest id
-        least = np.full((len(first), side + 1), NEVER)
-        alone = np.ones(len(first), bool)
-        again = rank[first][1:] == rank[first][:-1]
-        alone[1:] &= ~again
-        alone[:-1] &= ~again
-        left, right = reach[first] // 256, reach[first] % 256
-        # an entry alone with its rank is unique: its smallest id is all there is to know
-        o = np.arange(side + 1)
-        fits = (left[:, None] >= o) & (right[:, None] >= side - o)
-        least[alone] = np.where(fits[alone], ids[first[alone], None], NEVER)
-        several = np.flatnonzero(~alone)
+        first = x[order[start]]  # of each entry, a position with the smallest id
+        least = np.where(_fits(first, side), first["id"][:, None], NEVER)
+        # an entry alone with its seed has unique strings: its smallest id is all there is to know
+        seed = first["around"][:, side : side + k]
+        order = np.lexsort(_as_words(seed))
+        again = (seed[order[1:]] == seed[order[:-1]]).all(axis=1)
+        several = np.zeros(len(first), bool)
+        several[order[1:][again]] = several[order[:-1][again]] = True
+        several = np.flatnonzero(several)
         if len(several):
-            keys, _ = _string_keys(rank[first[several]].view(np.uint64), around[first[several]], left[several], right[several], side)
-            for j in range(side + 1):
-                on = np.flatnonzero(fits[several, j])
+            sub = first[several]
+            left, right = (_reranked(sub["around"][:, side : side + k], s) for s in (sub["around"][:, :side], sub["around"][:, side + k :]))
+            fits = _fits(sub, side)
+            for o in range(side + 1):
+                on = np.flatnonzero(fits[:, o])
                 if len(on):
-                    distinct, inverse = np.unique(keys[on, j], return_inverse=True)
+                    distinct, inverse = np.unique(left[on, o] * (len(sub) + 1) + right[on, side - o], return_inverse=True)
                     best = np.full(len(distinct), NEVER)
-                    np.minimum.at(best, inverse, ids[first[several[on]]])
-                    least[several[on], j] = best[inverse]
-        hit = least[entry] < ids[:, None]
-        got = _merged(*_as_spans(hit, ids, at, length))
-        return _rows([None] * len(got), 0, [i for i, _ in got], [s for _, s in got])
+                    np.minimum.at(best, inverse, sub["id"][on])
+                    least[several[on], o] = best[inverse]
+        hit = least[entry] < x["id"][:, None]
+        of, a, b = _merged(*_as_spans(hit, part << 32 | x["text"].astype(np.int64), x["at"].astype(np.int64), length))
+        found = np.stack([of & 0xFFFFFFFF, a, b], axis=1).astype("<u4")
+        return _batch(_FOUND, [(int(of[i]) >> 32, 0, found[i:j].tobytes()) for i, j in _groups(of >> 32)])
 
     def beaten(rows: list[tuple]) -> pa.RecordBatch:
-        parts = [np.frombuffer(a, np.int64).reshape(-1, 2) for _, a, _ in rows]
+        parts = [np.frombuffer(d, np.int64).reshape(-1, 2) for _, d in rows]
         keys, least = _least(np.concatenate([p[:, 0] for p in parts]).view(np.uint64), np.concatenate([p[:, 1] for p in parts]))
         out = [p[least[np.searchsorted(keys, p[:, 0].view(np.uint64))] < p[:, 1], 0].tobytes() for p in parts]
-        some = [i for i, x in enumerate(out) if x]
-        return _rows([rows[i][0] for i in some], 1, [None] * len(some), [out[i] for i in some])
+        return _batch(_FOUND, [(part, 1, lost) for (part, _), lost in zip(rows, out, strict=True) if lost])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows = None, []
         for batch in batches:
-            for bucket, kind, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for bucket, kind, part, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind == 2:
-                    yield _rows([row[0]], 2, [None], [row[1]])
-                    yield _rows([row[0]], 3, [None], [row[2]])
+                    yield _batch(_FOUND, [(part, 2, data)])
                     continue
                 if (bucket, kind) != at and rows:
                     yield (beaten if at[1] else spans)(rows)
                     rows = []
                 at = bucket, kind
-                rows.append(tuple(row))
+                rows.append((part, data))
         if rows:
             yield (beaten if at[1] else spans)(rows)
 
     return run
 
 
-def _rows(shards: list, kind: int, ids: list, data: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array([kind] * len(data), pa.int32()), pa.array(ids, pa.int64()), pa.array(data, pa.binary())], ["shard", "kind", "id", "data"])
-
-
-def _as_spans(hit: np.ndarray, ids: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(id, start, end) of the strings that are hit: those from o bytes before a position cover [at - o, at - o + length)."""
+def _as_spans(hit: np.ndarray, of: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end) of the strings that are hit: those from o bytes before a position cover [at - o, at - o + length)."""
     some = np.flatnonzero(hit.any(axis=1))
     h = np.zeros((len(some), hit.shape[1] + 2), bool)
     h[:, 1:-1] = hit[some]
     row, a = np.nonzero(h[:, 1:] & ~h[:, :-1])  # runs of offsets are one span
     _, b = np.nonzero(~h[:, 1:] & h[:, :-1])
     pos = some[row]
-    return ids[pos], at[pos] - (b - 1), at[pos] - a + length
+    return of[pos], at[pos] - (b - 1), at[pos] - a + length
 
 
-def _merged(ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[int, bytes]]:
-    """For each id its spans in order, those that overlap or touch joined, as packed pairs."""
-    order = np.lexsort((start, ids))
-    ids, start, end = ids[order], start[order], end[order]
-    text = np.cumsum(np.concatenate([[0], ids[1:] != ids[:-1]]))[: len(ids)].astype(np.int64)
+def _merged(of: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text its spans in order, those that overlap or touch joined."""
+    order = np.lexsort((start, of))
+    of, start, end = of[order], start[order], end[order]
+    text = np.cumsum(np.concatenate([[0], of[1:] != of[:-1]]))[: len(of)].astype(np.int64)
     big = np.int64(1) << np.int64(40)
-    reach = np.maximum.accumulate(text * big + end) if len(ids) else end
-    new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (text[1:] * big + start[1:] > reach[:-1])])[: len(ids)]
+    reach = np.maximum.accumulate(text * big + end) if len(of) else end
+    new = np.concatenate([[True], (of[1:] != of[:-1]) | (text[1:] * big + start[1:] > reach[:-1])])[: len(of)]
     at = np.flatnonzero(new)
     if not len(at):
-        return []
-    spans = np.stack([start[at], (reach - text * big)[np.append(at[1:], len(ids)) - 1]], axis=1)
-    return [(int(ids[at[a]]), spans[a:b].tobytes()) for a, b in _groups(ids[at])]
+        return of[:0], start[:0], end[:0]
+    return of[at], start[at], (reach - text * big)[np.append(at[1:], len(of)) - 1]
 
 
-def _finish(length: int, with_text: bool):
-    """For one shard: the result of each text."""
+def _finish(length: int, n: int, with_text: bool):
+    """For one part of the texts: the result of each."""
     side = length - length // 2 - 1
 
-    def frequent(x: _Sites, beaten: list[bytes]) -> list[tuple[int, bytes]]:
-        """Spans from seeds in very many texts: strings of which this shard, or another, has a smaller id."""
-        keys, fits = _string_keys(x.rank, x.around, x.left, x.right, side)
-        ids = np.broadcast_to(x.ids[:, None], fits.shape)
-        known, least = _least(keys[fits], ids[fits])
+    def frequent(data: list[bytes], beaten: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Spans from seeds in very many texts: strings of which this part, or another, has a smaller id."""
+        m = [len(d) // (_site(length).itemsize + 8) for d in data]
+        x = np.concatenate([np.frombuffer(d, _site(length), c) for d, c in zip(data, m, strict=True)])
+        rank = np.concatenate([np.frombuffer(d, np.uint64, c, c * _site(length).itemsize) for d, c in zip(data, m, strict=True)])
+        keys, fits = _string_keys(rank, x, side), _fits(x, side)
+        known, least = _least(keys[fits], np.broadcast_to(x["id"][:, None], fits.shape)[fits])
         place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        hit = x["id"][:, None] > least[place]
         lost = np.sort(np.concatenate([np.frombuffer(b, np.int64) for b in beaten]).view(np.uint64)) if beaten else np.zeros(0, np.uint64)
-        hit = ids > least[place]
         if len(lost):
             hit = hit | (lost[np.minimum(np.searchsorted(lost, keys), len(lost) - 1)] == keys)
-        return _merged(*_as_spans(hit & fits, x.ids, x.at, length))
+        return _as_spans(hit & fits, x["text"].astype(np.int64), x["at"].astype(np.int64), length)
 
-    def run(key: tuple[pa.Scalar, ...], texts: pa.Table, found: pa.Table) -> pa.Table:
-        by: dict[int, list[bytes]] = {}
-        rows = list(zip(*(found.column(c).to_pylist() for c in ("kind", "id", "data")), strict=True))
-        data = {kind: s for kind, _, s in rows if kind > 1}
-        extra = frequent(_Sites.packed(data[2], data[3], side), [s for kind, _, s in rows if kind == 1]) if data else []
-        for i, s in [*((i, s) for kind, i, s in rows if kind == 0), *extra]:
-            by.setdefault(i, []).append(s)
-        out: dict[str, list] = {c: [] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else []))}
-        none = np.zeros((0, 2), np.int64)
-        for i, real, text, copy in zip(*(texts.column(c).to_pylist() for c in ("id", "doc_id", "text", "copy")), strict=True):
-            data = (text or "").encode()
-            if copy:
-                spans = np.array([[0, len(data)]]) if len(data) >= length else none
-            elif i in by:
-                s = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in by[i]])
-                spans = np.frombuffer(_merged(np.zeros(len(s), np.int64), s[:, 0], s[:, 1])[0][1], np.int64).reshape(-1, 2)
-            else:
-                spans = none
-            kept = data
-            if len(spans):
-                cuts = [0, *spans.reshape(-1).tolist(), len(data)]
-                kept = b"".join(data[cuts[j] : cuts[j + 1]] for j in range(0, len(cuts), 2))
-            values = [real, len(data), int((spans[:, 1] - spans[:, 0]).sum()), len(spans), hashlib.sha256(kept).hexdigest(), *([kept] if with_text else [])]
-            for column, v in zip(out.values(), values, strict=True):
-                column.append(v)
-        types = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * with_text
-        return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), types, strict=True)})
+    names = {"doc_id": pa.int64(), "id": pa.int64(), "key": pa.int64(), "lead": pa.bool_(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), **({"kept": pa.binary()} if with_text else {})}
 
-    return run
+    def run(key: tuple[pa.Scalar, ...], texts: pa.Table, found: pa.Table) -> pa.Table:
+        rows: dict[int, list[bytes]] = {0: [], 1: [], 2: []}
+        for kind, data in zip(found.column("kind").to_pylist(), found.column("data").to_pylist(), strict=True):
+            rows[kind].append(data)
+        plain = np.concatenate([np.zeros((0, 3), np.int64), *(np.frombuffer(d, "<u4").reshape(-1, 3).astype(np.int64) for d in rows[0])])
+        more = frequent(rows[2], rows[1]) if rows[2] else (plain[:0, 0],) * 3
+        of, start, end = _merged(*(np.concatenate([plain[:, i], more[i]]) for i in range(3)))
+        texts = _in_order(texts)
+        first = np.searchsorted(of, np.arange(texts.num_rows + 1))
+        out = []
+        for i, (real, ident, text_key, lead, text) in enumerate(zip(*(texts.column(c).to_pylist() for c in ("doc_id", "id", "key", "lead", "text")), strict=True)):
+            data, spans = text.encode(), slice(first[i], first[i + 1])
+            cuts = [0, *np.stack([start[spans], end[spans]], axis=1).reshape(-1).tolist(), len(data)]
+            kept = b"".join(data[cuts[j] : cuts[j + 1]] for j in range(0, len(cuts), 2))
+            out.append((real, ident, text_key, lead, len(data), len(data) - len(kept), len(cuts) // 2 - 1, hashlib.sha256(kept).hexdigest(), *([kept] if with_text else [])))
+        return pa.Table.from_batches([_batch(names, out)])
+
+    return run, _ddl(names)
 
 
 def remove_repeats(
@@ -475,13 +496,14 @@ def remove_repeats(
     id_col: str = "doc_id",
     text_col: str = "text",
     length: int = 50,
-    shard_bytes: int = 4 << 20,
+    row_bytes: int = 4096,
     hot_texts: int = 20_000,
     with_text: bool = False,
 ) -> DataFrame:
     """Return doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes), one row per row of docs.
 
-    ``shard_bytes`` is about the text that one call holds at a time, but for texts longer than that.
+    ``row_bytes`` is about the text behind one row that is dealt; a part of the texts, which one call
+    holds, has the geometric mean of it and the bytes of all texts, but for texts longer than that.
     ``hot_texts`` is the number of texts with one seed from which its strings are dealt one by one.
     """
     work = Work(spark, "repeats")
@@ -489,29 +511,66 @@ def remove_repeats(
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit(NEVER - 1))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), ident.alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, ceil(total / shard_bytes))
-    n = max(partitions(spark), ceil(total / (16 << 20)))
+    n = max(1, ceil(sqrt(total / row_bytes)))  # parts of the texts, and buckets of the ranks
+    tasks = min(n, max(partitions(spark), ceil(total / (16 << 20))))
     docs = docs.withColumn("key", F.xxhash64("text"))
-    docs = docs.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    # of texts that occur more than once, only rows of the smallest id are compared
+    # of texts that occur more than once, only rows of the smallest id are compared, and of equal ones of those one
     slim = docs.select("id", "key", F.xxhash64("text", F.lit(1)).alias("check"), F.octet_length("text").alias("size"))
     same = slim.groupBy("key", "check", "size").agg(F.min("id").alias("least"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     same = work.write(same, "same")
-    later = slim.join(same, ["key", "check", "size"]).where("id > least").select("id", "key").distinct()
-    later = work.write(later, "later").select(F.col("id").alias("l_id"), F.col("key").alias("l_key"))
-    marked = docs.select("doc_id", "id", "text", "shard", "key").join(later, (F.col("id") == F.col("l_id")) & (F.col("key") == F.col("l_key")), "left")
-    marked = work.write(marked.select("doc_id", "id", "text", "shard", F.col("l_id").isNotNull().alias("copy")), "marked")
-    first = marked.where("not copy")
-
-    seeds = first.select("id", "text", "shard").mapInArrow(_emit_seeds(length, n), "bucket int, ids binary, shards binary, seeds binary, of binary")
-    seeds = seeds.repartition(n, "bucket").sortWithinPartitions("bucket")
-    shared = work.write(seeds.mapInArrow(_shared_seeds(hot_texts), "shard int, bucket int, hot boolean, seeds binary"), "shared")
-    pairs = first.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(_emit_pairs(length, n), "bucket int, kind int, shard int, numbers binary, around binary")
-    pairs = pairs.repartition(n, "bucket", "kind").sortWithinPartitions("bucket", "kind")
-    own = F.coalesce(F.when(F.col("kind") > 0, F.col("shard")), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    found = work.write(pairs.mapInArrow(_covered(length), "shard int, kind int, id long, data binary").withColumn("shard", own), "found")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
-    return marked.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(_finish(length, with_text), schema)
+    several = slim.join(same, ["key", "check", "size"]).select(F.col("id").alias("s_id"), F.col("key").alias("s_key"), (F.col("id") > F.col("least")).alias("copy")).distinct()
+    several = work.write(several, "several")
+    marked = docs.join(several, (F.col("id") == F.col("s_id")) & (F.col("key") == F.col("s_key")), "left")
+    gone = F.coalesce("copy", F.lit(False)) & (F.octet_length("text") >= length)
+    marked = work.write(marked.select("doc_id", "id", "key", "copy", F.octet_length("text").cast("long").alias("n_bytes"), F.when(~gone, F.col("text")).alias("text")), "marked")
+    work.drop("same", "several")
+    first = marked.where("copy is null").select("doc_id", "id", "key", "text", F.lit(False).alias("lead"))
+    leads = marked.where("not copy").select("doc_id", "id", "key", "text").dropDuplicates(["id", "key"]).withColumn("lead", F.lit(True))
+    first = first.unionByName(leads).withColumn("part", F.pmod(F.xxhash64("id", "key"), F.lit(n)).cast("int"))
+
+    seeds = first.select("id", "text", "part").mapInArrow(_emit_seeds(length, n), _ddl(_SEEDS)).repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    shared = work.write(seeds.mapInArrow(_shared_seeds(hot_texts), _ddl(_SHARED)), "shared")
+    pairs = first.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(_emit_pairs(length, n), _ddl(_PAIRS))
+    pairs = pairs.repartition(tasks, "bucket", "kind").sortWithinPartitions("bucket", "kind")
+    found = work.write(pairs.mapInArrow(_covered(length), _ddl(_FOUND)), "found")
+    work.drop("shared")
+    finish, schema = _finish(length, n, with_text)
+    done = work.write(first.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(finish, schema), "done")
+    work.drop("found")
+    names = ["n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])]
+    alone = done.where("not lead").select("doc_id", "n_bytes", *names)
+    # rows that repeat an id and its text may be any number: merged, so that the join can split them
+    leads = marked.where("not copy").select("doc_id", "id", "key", "n_bytes").join(done.where("lead").select("id", "key", *names).hint("merge"), ["id", "key"]).select("doc_id", "n_bytes", *names)
+    whole, none = F.col("n_bytes") >= length, F.lit(0).cast("long")
+    kept = F.coalesce("text", F.lit("")).cast("binary")
+    copies = marked.where("copy").select(
+        "doc_id", "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(none).alias("n_removed"), F.when(whole, F.lit(1).cast("long")).otherwise(none).alias("n_spans"), F.sha2(kept, 256).alias("kept_sha256"), *([kept.alias("kept")] if with_text else [])
+    )
+    return alone.unionByName(leads).unionByName(copies)
+
+
+def every_position(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
+    """(doc_id, pos): places from which ``length`` bytes also start in a text of smaller id; a rank for every position.
+
+    Each round joins the ranks of positions with those ``step`` bytes on, sorts the pairs and numbers
+    them in order; positions whose pair lies in one document only are dropped. Rows without an id,
+    and without a text, take no part; ids are distinct.
+    """
+    work = Work(spark, "every")
+    data = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.encode(text_col, "UTF-8").alias("data"))
+    at = F.explode(F.sequence(F.lit(0), F.octet_length("data") - 1))
+    here = data.where(F.octet_length("data") >= length).select("doc_id", "data", at.alias("pos"))
+    here = work.write(here.select("doc_id", "pos", F.conv(F.hex(F.substr("data", F.col("pos") + 1, F.lit(1))), 16, 10).cast("long").alias("rank")), "rank-1")
+    have = 1
+    while have < length:
+        step = min(have, length - have)
+        there = here.select("doc_id", (F.col("pos") - step).alias("pos"), F.col("rank").alias("next"))
+        pairs = work.write(here.select("doc_id", "pos", "rank").join(there, ["doc_id", "pos"]), f"pairs-{have}")
+        ordered = pairs.groupBy("rank", "next").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+        ordered = work.write(ordered.repartitionByRange("rank", "next").sortWithinPartitions("rank", "next").withColumn("new", F.monotonically_increasing_id()), f"order-{have}")
+        have += step
+        here = work.write(pairs.join(ordered, ["rank", "next"]).select("doc_id", "pos", F.col("new").alias("rank"), "least"), f"rank-{have}")
+    return here.where("doc_id > least").select("doc_id", "pos")
 
 
 def op6_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
