@@ -331,7 +331,7 @@ def _emit_pairs(length: int, n: int):
         hot = np.isin((rank & LOW40) * U64(n) + bucket.astype(np.uint64), np.concatenate(known)) if known else np.zeros(len(rank), bool)
         out = []
         order = np.flatnonzero(~hot)
-        order = order[np.argsort(bucket[order], kind="stable")]
+        order = order[np.lexsort((rank[order], bucket[order]))]  # equal neighbourhoods side by side, which packs them better
         for a, b in _groups(bucket[order]):
             out.append((int(bucket[order[a]]), 0, part, x[order[a:b]].tobytes()))
         if hot.any():
@@ -518,9 +518,10 @@ def remove_repeats(
     slim = docs.select("id", "key", F.xxhash64("text", F.lit(1)).alias("check"), F.octet_length("text").alias("size"))
     same = slim.groupBy("key", "check", "size").agg(F.min("id").alias("least"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     same = work.write(same, "same")
-    several = slim.join(same, ["key", "check", "size"]).select(F.col("id").alias("s_id"), F.col("key").alias("s_key"), (F.col("id") > F.col("least")).alias("copy")).distinct()
+    # neither table has a bound: merged at every size, never broadcast
+    several = slim.join(same.hint("merge"), ["key", "check", "size"]).select(F.col("id").alias("s_id"), F.col("key").alias("s_key"), (F.col("id") > F.col("least")).alias("copy")).distinct()
     several = work.write(several, "several")
-    marked = docs.join(several, (F.col("id") == F.col("s_id")) & (F.col("key") == F.col("s_key")), "left")
+    marked = docs.join(several.hint("merge"), (F.col("id") == F.col("s_id")) & (F.col("key") == F.col("s_key")), "left")
     gone = F.coalesce("copy", F.lit(False)) & (F.octet_length("text") >= length)
     marked = work.write(marked.select("doc_id", "id", "key", "copy", F.octet_length("text").cast("long").alias("n_bytes"), F.when(~gone, F.col("text")).alias("text")), "marked")
     work.drop("same", "several")
