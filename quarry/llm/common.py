@@ -15,7 +15,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -235,22 +235,29 @@ def connected_components(spark: SparkSession, edges: DataFrame, work: Work, tag:
 
     Alternates the large-star and small-star steps, which keep the components
     and bring each node next to its smallest; every step aggregates before it
-    shuffles and joins with a table of one row a node. Each round is written,
-    so the plan doesn't grow with the rounds.
+    shuffles and joins with a table of one row a node. Each step is written,
+    so the plan doesn't grow with the rounds, and sums over its rows are taken as they
+    are written: when a large-star step changes nothing and no node has two smaller
+    neighbours, every node is next to its smallest.
     """
+
+    def written(df: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        df = df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h"), F.sum(F.col("v").cast("decimal(38,0)")).alias("v"))
+        out = work.write(df, name)
+        return out, tuple(seen.get[c] for c in ("n", "h", "v"))
+
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
-    e, was, k = work.write(e, f"{tag}-0"), None, 0
+    (e, was), k = written(e, f"{tag}-0"), 0
     while True:
-        now = e.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h"), F.sum(F.col("v").cast("decimal(38,0)")).alias("v")).first()
-        if now == was:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select("v", "v").distinct())
-        was = now
         both = e.union(e.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        large = work.write(large, f"{tag}-large")
+        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large, now = written(large, f"{tag}-large-{k}")
+        if now == was and large.groupBy("u").count().where("count > 1").isEmpty():
+            return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select("v", "v").distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).distinct()
+        small = large.join(least.hint("merge"), "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).distinct()
         k += 1
-        e = work.write(small, f"{tag}-{k}")
-        work.drop(f"{tag}-{k - 1}")
+        e, was = written(small, f"{tag}-{k}")
+        work.drop(f"{tag}-{k - 1}", f"{tag}-large-{k - 1}")

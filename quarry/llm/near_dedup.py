@@ -6,17 +6,19 @@ Steps, each written to the shared folder:
    whole set, a MinHash signature and the keys of its bands. Texts with equal
    sets become one class, so a group of exact copies is one node from here on.
 2. Nodes that share a band key are candidates. A bucket never emits its pairs:
-   every member is compared with one hub, drawn anew for each bucket, so a
-   bucket of m nodes makes m - 1 pairs. Bands come in three groups; after each
-   group the confirmed links are contracted to components, and buckets that lie
-   in a single component are done, since further links in them change nothing.
+   its smallest node is its hub, and every node is compared with the smallest of the
+   hubs of its buckets, so n nodes make n - 1 pairs at most. The confirmed links are
+   contracted to components; buckets that lie in a single component are done, since
+   further links in them change nothing.
 3. Buckets that still hold several components are compared fully, skipping
-   pairs within a component and pairs that shared an earlier band. Of buckets up
-   to ``small`` nodes the pairs that survive the pruning go on to verification.
-   Larger buckets are dealt as pairs of blocks of about ``block`` nodes with their
-   texts; a task prunes and confirms within its two blocks and returns only links
-   that join components. So no candidate is lost to the hubs or to a cap, and no
-   step returns the pairs of a group.
+   pairs within a component and pairs that shared an earlier band. Buckets up
+   to ``small`` nodes are compared by their signatures, many buckets in one call. Of
+   larger ones every node is compared with its hub; those that still hold several
+   components after that are dealt as pairs of blocks of about ``block`` nodes, by
+   signatures alone. Blocks with more than ``most`` surviving pairs a node are dealt
+   once more with their texts and return only links that join components; the texts
+   of others are fetched for the pairs that survived. So no candidate is lost to the
+   hubs or to a cap, and no step returns the pairs of a group.
 4. Verification reads the signature in batches. With m of n values equal, the
    similarity has the posterior Beta(m + 1, n - m + 1); a pair is pruned as soon
    as the posterior chance of reaching the threshold is below ``miss``.
@@ -27,7 +29,8 @@ Chance that a link at exactly the threshold shares no band: (1 - t^rows)^bands,
 
 Edge cases: null, empty and blank texts have an empty set, are linked with
 nothing and are kept. Texts with fewer words than a shingle have one shingle of
-all their words. Rows that repeat an id are one document, kept or dropped together.
+all their words. Each row counts by its own text: of rows that repeat an id with
+different texts each has the component of its text, and is kept if that is its id.
 Rows without an id are linked with nothing: component_id is null, kept true. Extra
 columns are ignored. An empty table gives an empty result.
 """
@@ -43,8 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, U64, Chunk, Work, chunks, connected_components, mix, ngram_hashes, pack, unpack
-
+from .common import SPACE_WORDS, U64, Chunk, Work, chunks, connected_components, mix, ngram_hashes, pack, table, unpack
 
 
 def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,13 +103,14 @@ def _sketches(n: int, bands: int, rows: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(2),
                     pa.array(length),
                     pa.array(key[:, 0].view(np.int64)).take(slot),
                     pa.array(key[:, 1].view(np.int64)).take(slot),
                     pack(sig).take(slot),
                     lists.take(slot),
                 ],
-                ["doc_id", "n_shingles", "k1", "k2", "sig", "bands"],
+                ["doc_id", "text_key", "n_shingles", "k1", "k2", "sig", "bands"],
             )
 
     return run
@@ -167,17 +170,68 @@ def _confirmer(n: int, percent: int):
     return run
 
 
+def _first_shared(sig_u: np.ndarray, sig_v: np.ndarray, band: np.ndarray, rows: int) -> np.ndarray:
+    """Which pairs of signatures share no band before the given one, in which they are met."""
+    out = np.ones(len(band), dtype=bool)
+    for b in range(int(band.max(initial=0))):
+        on = np.flatnonzero(out & (band > b))
+        out[on[(sig_u[on, b * rows : (b + 1) * rows] == sig_v[on, b * rows : (b + 1) * rows]).all(axis=1)]] = False
+    return out
+
+
+def _small_buckets(size: int, rows: int, rules: list[tuple[int, int]], pairs: int = 1 << 17):
+    """The candidates of buckets of bounded size that no batch prunes; rows come sorted by bucket, many buckets at a time."""
+
+    def settle(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        band, key, node, comp = (np.asarray(t.column(c)) for c in ("band", "key", "node", "comp"))
+        sig = unpack(t.column("sig"), np.uint32, size)
+        start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (band[1:] != band[:-1])]))
+        end = np.repeat(np.append(start[1:], len(key)), np.diff(np.append(start, len(key))))
+        later = end - np.arange(len(key)) - 1  # members of the bucket behind each
+        cuts = np.searchsorted(np.cumsum(later), np.arange(0, int(later.sum()), pairs), "left")
+        for x, y in zip(cuts, [*cuts[1:], len(key)], strict=True):
+            i = np.repeat(np.arange(x, y), later[x:y])
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later[x:y]) - later[x:y], later[x:y])
+            apart = comp[i] != comp[j]
+            i, j = i[apart], j[apart]
+            fresh = _first_shared(sig[i], sig[j], band[i], rows)
+            i, j = i[fresh], j[fresh]
+            alive = _prune_rows(sig[i], sig[j], rules)
+            yield _links(node[i[alive]], node[j[alive]]).to_batches()[0] if len(alive) else _no_links()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            key, band = np.asarray(held.column("key")), np.asarray(held.column("band"))
+            whole = np.flatnonzero((key != key[-1:]) | (band != band[-1:]))
+            if len(whole):  # the last bucket may go on in the next batch
+                yield from settle(held.slice(0, int(whole[-1]) + 1).combine_chunks())
+                held = held.slice(int(whole[-1]) + 1)
+        if held is not None and held.num_rows:
+            yield from settle(held.combine_chunks())
+
+    return run
+
+
+def _links(u: np.ndarray, v: np.ndarray) -> pa.Table:
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def _no_links() -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64())], ["u", "v"])
+
+
 def _survivors(sig_u: np.ndarray, sig_v: np.ndarray, allowed: np.ndarray, band: int, rows: int, rules: list[tuple[int, int]]) -> np.ndarray:
     """Which allowed pairs (i, j) first share this band and are not pruned."""
     out = np.zeros(allowed.shape, dtype=bool)
     for i in range(len(sig_u)):
         js = np.flatnonzero(allowed[i])
-        if len(js) and band:
-            earlier = (sig_v[js, : band * rows] == sig_u[i, : band * rows]).reshape(len(js), band, rows).all(axis=2).any(axis=1)
-            js = js[~earlier]
         if len(js):
-            mine = np.broadcast_to(sig_u[i], (len(js), sig_u.shape[1]))
-            out[i, js[_prune_rows(mine, sig_v[js], rules)]] = True
+            js = js[_prune_rows(np.broadcast_to(sig_u[i], (len(js), sig_u.shape[1])), sig_v[js], rules)]
+        if len(js) and band:
+            js = js[_first_shared(np.broadcast_to(sig_u[i], (len(js), sig_u.shape[1])), sig_v[js], np.full(len(js), band), rows)]
+        out[i, js] = True
     return out
 
 
@@ -191,18 +245,20 @@ def _sides(key: tuple[pa.Scalar, ...], t: pa.Table) -> tuple[np.ndarray, np.ndar
     return node, comp, left, right, allowed
 
 
-def _links(u: np.ndarray, v: np.ndarray) -> pa.Table:
-    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+def _blocks(size: int, rows: int, rules: list[tuple[int, int]], most: int):
+    """Between two blocks of a large bucket, by signatures alone: rows (u, v, key, x, y).
 
-
-def _small_blocks(size: int, rows: int, rules: list[tuple[int, int]]):
-    """The candidates of a bucket of bounded size that no batch prunes."""
+    The pairs that no batch prunes, if there are at most ``most`` a node; else one row without u and v, which
+    tells that the blocks have to be confirmed together.
+    """
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         node, _, left, right, allowed = _sides(key, t)
         sig = unpack(t.column("sig"), np.uint32, size)
         i, j = np.nonzero(_survivors(sig[left], sig[right], allowed, t.column("band")[0].as_py(), rows, rules))
-        return _links(node[left[i]], node[right[j]])
+        dense = len(i) > most * t.num_rows
+        u, v = (pa.array([None], pa.int64()),) * 2 if dense else (pa.array(node[left[i]], pa.int64()), pa.array(node[right[j]], pa.int64()))
+        return pa.table({"u": u, "v": v, **{c: pa.array([k.as_py()] * len(u), kind) for c, k, kind in zip(("key", "x", "y"), key, (pa.int64(), pa.int32(), pa.int32()), strict=True)}})
 
     return run
 
@@ -227,7 +283,7 @@ def _both(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _large_blocks(size: int, rows: int, rules: list[tuple[int, int]], n: int, percent: int):
+def _dense_blocks(size: int, rows: int, rules: list[tuple[int, int]], n: int, percent: int):
     """The confirmed links between two blocks of a large bucket, as few as join what they join."""
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
@@ -275,91 +331,97 @@ def near_duplicates(
     rows: int = 5,
     batch: int = 30,
     miss: float = 1e-6,
-    block: int = 1024,
+    block: int = 4096,
     small: int = 64,
+    most: int = 4,
 ) -> DataFrame:
-    """Return doc_id, n_shingles, component_id (the smallest id reachable) and kept, one row per row of docs.
+    """Return doc_id, text_key (xxhash64 of the text), n_shingles, component_id (the smallest id reachable) and kept, one row per row of docs.
 
     Linked are texts whose shingle sets have 100 * |both| >= percent * |either|.
     """
     work, size = Work(spark, "near"), bands * rows
     rules = _rules(size, batch, percent / 100, miss)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
     sketch = work.write(
-        docs.mapInArrow(_sketches(shingle, bands, rows), "doc_id long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>"),
+        docs.select("doc_id", "text", "text_key").mapInArrow(_sketches(shingle, bands, rows), "doc_id long, text_key long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>"),
         "sketch",
     )
-    classes = work.write(sketch.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    nodes = sketch.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    members = nodes.select(F.col("doc_id").alias("node"), F.posexplode("bands").alias("band", "key"))
-    members = work.write(members, "members")
-    hubs = members.groupBy("band", "key").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "key")).alias("hub")).where("n > 1")
+    # texts of equal sets are one node, whatever their ids; a node's number stands for it from here on
+    classes = sketch.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2", "n_shingles")
+    nodes = classes.agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    nodes = work.write(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    members = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    hubs = members.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1")
     hubs = work.write(hubs, "hubs")  # so that the join deals both sides itself and can split a large bucket
-    members = work.write(members.join(hubs, ["band", "key"]), "candidates")
-    work.drop("members")
-    named = members.select(F.col("node").alias("doc_id")).distinct()
-    texts = work.write(docs.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    sigs = work.write(sketch.select("doc_id", "sig").join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sigs")
+    members = work.write(members.join(hubs.hint("merge"), ["band", "key"]), "candidates")
+    work.drop("hubs")
+    named = members.groupBy("node").agg(F.min("hub").alias("hub"))
+    named = work.write(nodes.select("node", "sig", "rep").join(named.hint("merge"), "node"), "named")
+    sigs = named.select("node", "sig")
+    texts = named.select("node", F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_key").alias("text_key"))
+    texts = work.write(docs.join(texts.hint("merge"), ["doc_id", "text_key"]).select("node", "text").dropDuplicates(["node"]), "texts")
 
     def fetch(pairs: DataFrame, side: DataFrame, what: str) -> DataFrame:
         for end in ("u", "v"):
-            pairs = pairs.join(side.select(F.col("doc_id").alias(end), F.col(what).alias(f"{what}_{end}")), end)
+            pairs = pairs.join(side.select(F.col("node").alias(end), F.col(what).alias(f"{what}_{end}")), end)
         return pairs.select("u", "v", f"{what}_u", f"{what}_v")
 
-    def confirmed(pairs: DataFrame, pruned: bool, tag: str) -> DataFrame:
-        if not pruned:
-            pairs = work.write(fetch(pairs, sigs, "sig").mapInArrow(_pruner(size, rules), "u long, v long"), f"pruned-{tag}")
+    def pruned(pairs: DataFrame) -> DataFrame:
+        return fetch(pairs, sigs, "sig").mapInArrow(_pruner(size, rules), "u long, v long")
+
+    def confirmed(pairs: DataFrame, tag: str) -> DataFrame:
         return work.write(fetch(pairs, texts, "text").mapInArrow(_confirmer(shingle, percent), "u long, v long"), f"links-{tag}")
 
-    links = comps = None
-    for k, (a, b) in enumerate([(0, 1), (1, 6), (6, bands)]):
-        pairs = members.where((F.col("band") >= a) & (F.col("band") < b) & (F.col("node") != F.col("hub")))
-        pairs = pairs.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
-        if comps is not None:
-            for end in ("u", "v"):
-                pairs = pairs.join(comps.select(F.col("node").alias(end), F.col("comp").alias(f"c{end}")), end, "left")
-            pairs = pairs.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
-        found = confirmed(pairs, False, str(k))
-        links = found if links is None else links.union(found)
-        comps = connected_components(spark, links, work, f"comp{k}")
-    state = members.join(comps, "node", "left").select("band", "key", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    mixed = state.groupBy("band", "key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("band", "key")
-    left = work.write(state.join(mixed, ["band", "key"], "left_semi"), "left")
-    more = []
-    few = left.where(F.col("n") <= small).withColumns({"block": F.lit(0), "x": F.lit(0), "y": F.lit(0)})
-    few = few.join(sigs.withColumnRenamed("doc_id", "node"), "node")
-    pairs = few.groupBy("key", "x", "y").applyInArrow(_small_blocks(size, rows, rules), "u long, v long")
-    pairs = work.write(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "rest")
-    if not pairs.isEmpty():
-        more.append(confirmed(pairs, True, "rest"))
-    many = left.where(F.col("n") > small)
-    if not many.isEmpty():
-        of = F.ceil(F.col("n") / block).cast("int")
-        spread = many.withColumn("of", of).withColumn("block", F.pmod(F.xxhash64("node", "band"), F.col("of")).cast("int"))
+    def mixed(comps: DataFrame) -> DataFrame:
+        """Members of buckets that hold several components."""
+        state = members.join(comps.hint("merge"), "node", "left").select("band", "key", "node", "n", "hub", F.coalesce("comp", "node").alias("comp"))
+        open_ = state.groupBy("band", "key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("band", "key")
+        return state.join(open_.hint("merge"), ["band", "key"], "left_semi")
+
+    first = named.where("hub < node").select(F.col("hub").alias("u"), F.col("node").alias("v"))
+    links = confirmed(work.write(pruned(first), "pruned-0"), "0")
+    comps = connected_components(spark, links, work, "comp-0")
+    left = work.write(mixed(comps), "left-0")
+    few = left.where(F.col("n") <= small).select("band", "key", "node", "comp").join(sigs.hint("merge"), "node")
+    few = few.repartition("key").sortWithinPartitions("key", "band").mapInArrow(_small_buckets(size, rows, rules), "u long, v long")
+    few = few.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    many = left.where((F.col("n") > small) & (F.col("node") != F.col("hub")))
+    hub_comp = comps.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
+    many = many.join(hub_comp.hint("merge"), "hub", "left").where(F.col("comp") != F.coalesce("hub_comp", "hub"))
+    many = pruned(many.select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct())
+    rest = work.write(few.unionByName(many).distinct(), "rest")
+    if not rest.isEmpty():
+        links = links.unionByName(confirmed(rest, "1"))
+        comps = connected_components(spark, links, work, "comp-1")
+    large = left.where(F.col("n") > small)
+    if not large.isEmpty():
+        members = large.select("band", "key", "node", "n", "hub")
+        large = work.write(mixed(comps), "left-1")
+        spread = large.withColumn("of", F.ceil(F.col("n") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("node", "band"), F.col("of")).cast("int"))
         spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
         spread = spread.select("band", "key", "node", "comp", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-        for side in (sigs, texts):
-            spread = spread.join(side.withColumnRenamed("doc_id", "node"), "node")
-        found = spread.groupBy("key", "x", "y").applyInArrow(_large_blocks(size, rows, rules, shingle, percent), "u long, v long")
-        more.append(work.write(found, "links-many"))
-    if more:
-        for found in more:
-            links = links.union(found)
-        comps = connected_components(spark, links, work, "last")
-    comps = work.write(
-        classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.col("n_shingles").alias("n"), F.coalesce("comp", "rep").alias("comp")),
-        "result",
-    )
-    own = sketch.select("doc_id", "n_shingles", "k1", "k2")
-    same = own["doc_id"].isNotNull() & (own["k1"] == comps["k1"]) & (own["k2"] == comps["k2"]) & (own["n_shingles"] == comps["n"])
-    out = own.join(comps, same, "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
+        spread = spread.join(sigs, "node")
+        found = work.write(spread.groupBy("key", "x", "y").applyInArrow(_blocks(size, rows, rules, most), "u long, v long, key long, x int, y int"), "blocks")
+        pairs = found.where("u is not null").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        links = links.unionByName(confirmed(pairs, "2"))
+        dense = found.where("u is null").select("key", "x", "y")
+        if not dense.isEmpty():
+            dense = spread.join(dense, ["key", "x", "y"], "left_semi").join(texts, "node")
+            links = links.unionByName(work.write(dense.groupBy("key", "x", "y").applyInArrow(_dense_blocks(size, rows, rules, shingle, percent), "u long, v long"), "links-3"))
+        comps = connected_components(spark, links, work, "comp-2")
+    by_class = nodes.select("k1", "k2", F.col("n_shingles").alias("n"), "node", F.col("rep.doc_id").alias("rep"))
+    inside = work.write(comps.join(by_class.hint("merge"), "node"), "inside")
+    inside = inside.join(inside.groupBy("comp").agg(F.min("rep").alias("least")).hint("merge"), "comp").select("node", "least")
+    result = work.write(by_class.join(inside.hint("merge"), "node", "left").select("k1", "k2", "n", F.coalesce("least", "rep").alias("component_id")), "result")
+    own = sketch.select("doc_id", "text_key", "n_shingles", "k1", "k2")
+    same = own["doc_id"].isNotNull() & (own["k1"] == result["k1"]) & (own["k2"] == result["k2"]) & (own["n_shingles"] == result["n"])
+    out = own.join(result.hint("merge"), same, "left").select("doc_id", "text_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    work.drop("candidates", "named", "texts", "left-0", "left-1", "blocks", "pruned-0", "rest", "links-0", "links-1", "links-2", "links-3", "inside", "nodes")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op8_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import table
-
-    return near_duplicates(spark, table(spark, sf_dir, "documents"), shingle=4, percent=80)
+    return near_duplicates(spark, table(spark, sf_dir, "documents"), shingle=4, percent=80).drop("text_key")
 
 
 OP8_SQL = r"""
