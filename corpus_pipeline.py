@@ -46,9 +46,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group; those without words are no group."""
-    copies = near_duplicates(spark, docs).where("not kept").select("doc_id").distinct()
+    copies = near_duplicates(spark, docs).where("not kept").select("doc_id", "text_key").distinct()
     # their number grows with the corpus: merged, never broadcast
-    return docs.join(copies.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
+    return docs.withColumn("text_key", F.xxhash64("text")).join(copies.hint("merge"), ["doc_id", "text_key"], "left_anti").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
