@@ -230,37 +230,47 @@ class Field:
                 now = np.where(on, back[np.arange(pages), t, now], now)
         return state
 
-    def fit(self, pages: list[list[Block]], rounds: int, rate: float, decay: float) -> None:
-        """Adagrad on the likelihood of the labels of all pages, by forward-backward."""
-        length = np.array([len(p) for p in pages])
-        width = int(length.max())
-        rows = [[self.number[f] for f in features(b)] for p in pages for b in p]
-        x = np.zeros((len(rows), len(self.number) + 1))
-        for i, r in enumerate(rows):
-            x[i, r] = 1
-        page = np.repeat(np.arange(len(pages)), length)
-        place = np.arange(len(rows)) - np.repeat(np.cumsum(length) - length, length)
-        y = np.zeros((len(pages), width), dtype=np.int64)
-        y[page, place] = [bool(b.main) for p in pages for b in p]
-        on = np.arange(width) < length[:, None]
+    def likelihood(self, x: np.ndarray, y: np.ndarray, on: np.ndarray) -> tuple[float, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The log-likelihood of labels y (page, place), of which those count that are on, and its slopes, by forward-backward.
+
+        x has a row of features for each place that is on, page by page.
+        """
+        page, place = np.nonzero(on)
+        width = on.shape[1]
         truth = np.eye(2)[y] * on[..., None]
-        seen_first = truth[:, 0].sum(axis=0)
-        seen_step = np.einsum("pti,ptj->ij", truth[:, :-1], truth[:, 1:])
-        squares = [np.full_like(w, 1e-8) for w in (self.emit, self.step, self.first)]
+        score = np.zeros((*on.shape, 2))
+        score[page, place] = x @ self.emit
+        alpha, beta = np.zeros_like(score), np.zeros_like(score)
+        alpha[:, 0] = score[:, 0] + self.first
+        for t in range(1, width):
+            alpha[:, t] = np.where(on[:, t, None], np.logaddexp.reduce(alpha[:, t - 1, :, None] + self.step, axis=1) + score[:, t], alpha[:, t - 1])
+        for t in range(width - 2, -1, -1):
+            beta[:, t] = np.where(on[:, t + 1, None], np.logaddexp.reduce(self.step + (score[:, t + 1] + beta[:, t + 1])[:, None, :], axis=2), 0)
+        z = np.logaddexp.reduce(alpha[:, -1], axis=1)
+        node = np.exp(alpha + beta - z[:, None, None]) * on[..., None]
+        edge = np.exp(alpha[:, :-1, :, None] + self.step + (score[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]) * on[:, 1:, None, None]
+        seen_step, seen_first = np.einsum("pti,ptj->ij", truth[:, :-1], truth[:, 1:]), truth[:, 0].sum(axis=0)
+        value = (truth * score).sum() + (seen_step * self.step).sum() + seen_first @ self.first - z.sum()
+        return float(value), (x.T @ (truth - node)[page, place], seen_step - edge.sum(axis=(0, 1)), seen_first - node[:, 0].sum(axis=0))
+
+    def encoded(self, pages: list[list[Block]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What likelihood() takes, of labelled pages."""
+        length = np.array([len(p) for p in pages])
+        x = np.zeros((int(length.sum()), len(self.number) + 1))
+        for i, b in enumerate(b for p in pages for b in p):
+            x[i, [self.number[f] for f in features(b)]] = 1
+        on = np.arange(int(length.max())) < length[:, None]
+        y = np.zeros(on.shape, dtype=np.int64)
+        y[on] = [bool(b.main) for p in pages for b in p]
+        return x, y, on
+
+    def fit(self, pages: list[list[Block]], rounds: int, rate: float, decay: float) -> None:
+        """Adagrad on the likelihood of the labels of all pages."""
+        x, y, on = self.encoded(pages)
+        weights = self.emit, self.step, self.first
+        squares = [np.full_like(w, 1e-8) for w in weights]
         for _ in range(rounds):
-            score = np.zeros((len(pages), width, 2))
-            score[page, place] = x @ self.emit
-            alpha, beta = np.zeros_like(score), np.zeros_like(score)
-            alpha[:, 0] = score[:, 0] + self.first
-            for t in range(1, width):
-                alpha[:, t] = np.where(on[:, t, None], np.logaddexp.reduce(alpha[:, t - 1, :, None] + self.step, axis=1) + score[:, t], alpha[:, t - 1])
-            for t in range(width - 2, -1, -1):
-                beta[:, t] = np.where(on[:, t + 1, None], np.logaddexp.reduce(self.step + (score[:, t + 1] + beta[:, t + 1])[:, None, :], axis=2), 0)
-            z = np.logaddexp.reduce(alpha[:, -1], axis=1)
-            node = np.exp(alpha + beta - z[:, None, None]) * on[..., None]
-            edge = np.exp(alpha[:, :-1, :, None] + self.step + (score[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]) * on[:, 1:, None, None]
-            slope = x.T @ (truth - node)[page, place], seen_step - edge.sum(axis=(0, 1)), seen_first - node[:, 0].sum(axis=0)
-            for w, g, s in zip((self.emit, self.step, self.first), slope, squares, strict=True):
+            for w, g, s in zip(weights, self.likelihood(x, y, on)[1], squares, strict=True):
                 g = g / len(pages) - decay * w
                 s += g * g
                 w += rate * g / np.sqrt(s)
