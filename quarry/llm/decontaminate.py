@@ -15,7 +15,8 @@ Occurrences mark their words, and marked words merge into removal spans.
 The benchmark is read in blocks of bounded bytes; only one block's windows are
 sent to the executors at a time, and each block is held against all texts. Each
 block's findings are handed on with the row to the next block and merged there, so
-the number of blocks doesn't show in the result.
+the number of blocks doesn't show in the result. What is dealt to blocks are distinct runs
+of ``piece`` words, so neither a long item nor one that repeats fills a block.
 
 Edge cases: null and empty texts have no words, no spans and no items. Items
 without words or without an id take no part. An item of fewer words than a
@@ -47,19 +48,20 @@ class Windows:
         h = chunk.hashes(starts, ends, lower=True)
         self.vocabulary = np.unique(h)
         number = np.searchsorted(self.vocabulary, h) + 1
-        first = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=chunk.n))])
-        seen: dict[tuple[int, ...], set[int]] = {}
-        for i, (item, _) in enumerate(items):
-            words = tuple(number[first[i] : first[i + 1]].tolist())
-            for k in range(max(1, len(words) - width + 1)) if words else ():
-                seen.setdefault(words[k : k + width], set()).add(item)
-        self.length = np.array([len(w) for w in seen], dtype=np.int64)
-        self.shortest = int(self.length.min()) if len(seen) else 0
-        self.words = np.zeros((len(seen), width), dtype=np.int64)  # aligned to the right
-        for i, w in enumerate(seen):
-            self.words[i, width - len(w) :] = w
-        self.item = np.array([x for s in seen.values() for x in sorted(s)], dtype=np.int64)
-        self.item_at = np.concatenate([[0], np.cumsum([len(s) for s in seen.values()])]).astype(np.int64)
+        count = np.bincount(of, minlength=chunk.n)
+        n = np.where(count > 0, np.maximum(1, count - width + 1), 0)  # windows of each item
+        item = np.repeat(np.arange(chunk.n), n)
+        length = np.minimum(count, width)[item]
+        start = (np.cumsum(count) - count)[item] + np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n)
+        words = np.zeros((len(item), width), dtype=np.int64)  # aligned to the right
+        inside = np.arange(width) >= width - length[:, None]
+        words[inside] = number[(start[:, None] + np.arange(width) - (width - length)[:, None])[inside]]
+        self.words, which = np.unique(words, axis=0, return_inverse=True)
+        self.length = (self.words > 0).sum(axis=1)
+        self.shortest = int(self.length.min()) if len(self.words) else 0
+        pairs = np.unique(np.stack([which.reshape(-1), np.array([i for i, _ in items], dtype=np.int64)[item]], axis=1), axis=0)
+        self.item = pairs[:, 1]
+        self.item_at = np.searchsorted(pairs[:, 0], np.arange(len(self.words) + 1))
 
     def numbers(self, h: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
@@ -233,6 +235,16 @@ def _scan(shared, carried: int, later: bool = False):
     return run
 
 
+def _pieces(benchmark: DataFrame, width: int, piece: int) -> DataFrame:
+    """(item_id, text) of distinct runs of at most piece + width - 1 words, which overlap so that each window lies in one."""
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.regexp_extract_all(lower, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), words.alias("w")).where(F.size("w") > 0)
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - width), F.lit(piece))
+    cut = F.transform(starts, lambda i: F.array_join(F.slice(F.col("w"), i + 1, F.lit(piece + width - 1)), " "))
+    return items.select("item_id", F.explode(cut).alias("text")).distinct()
+
+
 def contamination(
     spark: SparkSession,
     docs: DataFrame,
@@ -241,20 +253,21 @@ def contamination(
     id_col: str = "doc_id",
     text_col: str = "text",
     width: int = 8,
-    block_bytes: int = 8 << 20,
+    block_bytes: int = 4 << 20,
+    piece: int = 4096,
     columns: tuple[str, ...] = (),
 ) -> DataFrame:
     """Return doc_id, the named columns of docs, n_words, n_hit, word_spans, byte_spans (merged, of the whole text) and items, one row per row of docs."""
     tune(spark)
     docs, names, carried = carrying(docs, F.col(id_col), text_col, columns)
-    items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
+    work = Work(spark, "blocks")
+    items = work.write(_pieces(benchmark, width, piece), "pieces")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, ceil(total / block_bytes))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {names}n_words long, n_hit long, word_spans {SPAN}, byte_spans {SPAN}, items array<long>"
     every = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    work = Work(spark, "blocks")
     for k in range(n_blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k) if n_blocks > 1 else items
+        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k)
         windows = Windows([(r[0], r[1]) for r in block.collect()], width)  # at most about block_bytes
         shared = spark.sparkContext.broadcast(windows)
         if k == n_blocks - 1:

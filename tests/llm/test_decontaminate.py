@@ -35,14 +35,15 @@ def case(seed):
     rng = random.Random(seed)
     word = lambda: rng.choice(["a", "B", "c3", "dé", "E"])
     items = [(i, " ".join(word() for _ in range(rng.randint(0, 14)))) for i in range(25)] + [(99, None)]
+    items += [(50, ",".join(word() for _ in range(60)))] + [(51, items[3][1]), (3, items[4][1])] + [items[5]] * 30
     docs = [(d, rng.choice([" ", "-", "\n"]).join(word() if rng.random() < 0.9 else "zz" for _ in range(rng.randint(0, 300)))) for d in range(30)] + [(98, None)]
     return docs, items
 
 
-@pytest.mark.parametrize(("seed", "block"), [(1, 8 << 20), (2, 8 << 20), (3, 120)])
-def test_against_brute_force(spark, seed, block):
+@pytest.mark.parametrize(("seed", "block", "piece"), [(1, 8 << 20, 4096), (2, 8 << 20, 3), (3, 400, 5)])
+def test_against_brute_force(spark, seed, block, piece):
     docs, items = case(seed)
-    df = contamination(spark, spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), width=8, block_bytes=block)
+    df = contamination(spark, spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), width=8, block_bytes=block, piece=piece)
     got = {r["doc_id"]: (r["n_words"], r["n_hit"], sorted(r["items"])) for r in df.collect()}
     assert got == brute(docs, items, 8)
 
@@ -53,7 +54,7 @@ def test_blocks_do_not_show_in_the_result(spark):
     docs, items = spark.createDataFrame(docs, "doc_id long, text string").withColumn("lang", F.lit("en")), spark.createDataFrame(items, "item_id long, text string")
     once, often = (
         sorted(repr((r["doc_id"], r["text"], r["lang"], r["n_words"], r["n_hit"], r["word_spans"], r["byte_spans"], sorted(r["items"]))) for r in contamination(spark, docs, items, block_bytes=b, columns=("lang", "text")).collect())
-        for b in (8 << 20, 120)
+        for b in (8 << 20, 400)
     )
     assert len(once) == 36 and once == often
 
