@@ -4,9 +4,10 @@ Features are the byte 2-, 3- and 4-grams of a text, white space and ASCII
 punctuation folded to one space and A-Z to a-z, hashed to ``buckets`` rows of an
 embedding table. A text's vector is the average of its rows; a linear softmax on
 top gives the language. Both layers are trained by stochastic gradient descent in
-numpy, on the driver, on at most ``sample`` labelled texts of at most
-``sample_bytes`` bytes each: a bounded sample, drawn by a hash of the id and by
-language, so that it is the same for any partitioning. What executors receive is
+numpy, on the driver, on about ``sample`` labelled texts of at most
+``sample_bytes`` bytes each, as many of every language and at least 20: a bounded sample, drawn by a hash of id and text,
+so that it is the same for any partitioning. A language that has only longer texts is learned
+from those. What executors receive is
 the product of both layers, ``buckets`` rows of one number per language.
 
 A fifth of the sample is left out of training: it fits the temperature that
@@ -27,10 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, Chunk, bounded_sample, carrying, chunks, table, tune
+from .common import LOWER, Chunk, carrying, chunks, table, tune
 
 _FOLD = LOWER.copy()
 _FOLD[[b for b in range(128) if not chr(b).isalpha()]] = 0x20
@@ -152,6 +153,24 @@ def _predict(shared, buckets: int, carried: int):
     return run
 
 
+def _sample(rows: DataFrame, sample: int, sample_bytes: int) -> DataFrame:
+    """(lang, text): as many texts of each language, at least 20, in an order by hash; rows that repeat an id and its text count once."""
+    rows = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & (F.octet_length("text") >= 2))
+    rows = rows.withColumns({"t": F.xxhash64("text"), "short": F.octet_length("text") <= sample_bytes})
+    # one row a language
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct(F.when(F.col("short"), F.struct("id", "t"))).alias("n"), F.approx_count_distinct(F.struct("id", "t")).alias("all")).collect()
+    if not sizes:
+        return rows.select("lang", "text").limit(0)
+    size = max(20, sample // len(sizes))
+    cuts = [(r["lang"], r["n"] == 0, int(min(1.0, (3 * size + 100) / max(1, r["n"] or r["all"])) * 1_000_003)) for r in sizes]
+    cuts = rows.sparkSession.createDataFrame(cuts, "lang string, long boolean, cut int")
+    # about three times as many rows as are wanted are left, however large the table; equal ones of them are put together first
+    rows = rows.withColumn("h", F.pmod(F.xxhash64(F.col("id").cast("string"), "t"), F.lit(1_000_003))).join(cuts, "lang")
+    rows = rows.where((F.col("short") | F.col("long")) & (F.col("h") <= F.col("cut"))).select("lang", "h", "id", "t", "text").dropDuplicates(["lang", "id", "t"])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "t", "id"))
+    return rows.withColumn("place", place).where(F.col("place") <= size).orderBy("lang", "place").select("lang", "text")
+
+
 def predict_language(
     spark: SparkSession,
     docs: DataFrame,
@@ -172,15 +191,7 @@ def predict_language(
 ) -> DataFrame:
     """Return doc_id, the named columns of docs, lang_pred, score and rejected, one row per row of docs, learned from the rows of labelled."""
     tune(spark)
-    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
-    rows = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.octet_length("text").between(2, sample_bytes))
-    known = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample // 20).select("lang").collect()]
-    bags = []
-    for lang in known:
-        ids = bounded_sample(rows.where(F.col("lang") == lang).select("id"), F.col("id"), max(20, sample // len(known)))
-        part = rows.where(F.col("lang") == lang).join(F.broadcast(ids.distinct()), "id", "left_semi")  # ids of at most ``sample`` rows
-        got = part.select("lang", "text", "id").orderBy(F.xxhash64("id"), "id").select("lang", "text").mapInArrow(_bags(buckets), "lang string, rows binary, weights binary").collect()
-        bags += [(r[0], np.frombuffer(r[1], np.uint16 if buckets <= 1 << 16 else np.uint32), np.frombuffer(r[2], np.float32)) for r in got]
+    bags = [(r[0], np.frombuffer(r[1], np.uint16 if buckets <= 1 << 16 else np.uint32), np.frombuffer(r[2], np.float32)) for r in _sample(labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id")), sample, sample_bytes).mapInArrow(_bags(buckets), "lang string, rows binary, weights binary").collect()]
     model = Model(bags, buckets, dim=dim, epochs=epochs, rate=rate, reject=reject, seed=seed) if bags else None
     shared = spark.sparkContext.broadcast(model)
     docs, names, carried = carrying(docs, F.col(id_col).cast("long"), text_col, columns)

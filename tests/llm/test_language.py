@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm.language import held_out, op3_subword_softmax, predict_language
+from quarry.llm.language import _sample, held_out, op3_subword_softmax, predict_language
 
 WORDS = {"en": "the of and ing tion that with", "de": "der und ung schaft nicht über", "fr": "les des ment eau être où"}
 
@@ -41,6 +41,22 @@ def test_same_for_any_partitioning(spark):
     assert a == b
 
 
+def test_rows_that_repeat_and_many_languages(spark):
+    """One id with very many rows is a bounded part of the sample; 150 languages are all learned, one of long texts alone as well."""
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    marks = sorted({"".join(rng.choices(letters, k=4)) for _ in range(150)})
+    rows = [(i, " ".join(m + rng.choice(letters) for _ in range(30)), m) for i, m in enumerate(marks * 8)]
+    long = " ".join("щука" + rng.choice("абв") for _ in range(6000))
+    rows += [(10**6 + i, long[i:], "ru") for i in range(8)] + [(5, "always the same text of one id", "en")] * 3000 + [(5, f"another {i} of one id", "en") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    bags = _sample(df.select("lang", "text", F.col("doc_id").alias("id")), 100, 20_000).groupBy("lang").count().collect()
+    assert len(bags) == len(marks) + 2 and max(r["count"] for r in bags) <= 20
+    got = predict_language(spark, df, df).join(df.select("doc_id", "lang", "text").dropDuplicates(["doc_id"]), "doc_id").where("doc_id <> 5").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.95 * len(got)
+    assert {r["lang_pred"] for r in got if r["lang"] == "ru"} == {"ru"}
+
+
 def test_texts_without_letters_are_undetermined(spark, awkward, nothing):
     rows = [(1, None), (2, ""), (3, "123 !? ²½"), (4, "x"), (5, "ü")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
