@@ -53,9 +53,11 @@ class Work:
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not base:
+            if not spark.sparkContext.master.startswith("local["):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             import tempfile
 
-            base = f"file://{tempfile.gettempdir()}/checkpoints"  # only where none is set: local mode
+            base = f"file://{tempfile.gettempdir()}/checkpoints"
         self.base = f"{base}/{name}-{uuid.uuid4().hex}"
         tune(spark)
 
