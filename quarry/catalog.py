@@ -130,8 +130,13 @@ class TableDef:
             raise ValidationError(f"column {c.name} is {c.type}, not {given.simpleString()}")
 
     def key_column(self) -> Column:
-        """table||pk or table||pk|ck."""
-        return F.concat(F.lit(f"{self.name}||"), F.concat_ws("|", *(F.col(k).cast("string") for k in self.keys)))
+        """table||pk or table||pk|ck; bars and backslashes of the values are escaped."""
+        escaped = lambda c: F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+        return F.concat(F.lit(f"{self.name}||"), F.concat_ws("|", *(escaped(F.col(k).cast("string")) for k in self.keys)))
+
+    def key_of(self, *values) -> str:
+        """The same of plain values."""
+        return f"{self.name}||" + "|".join(str(v).replace("\\", "\\\\").replace("|", "\\|") for v in values)
 
 
 _NAME = r"[A-Za-z_][A-Za-z0-9_]*"
@@ -188,7 +193,7 @@ def parse_create(sql: str) -> TableDef:
 
 
 class Catalog:
-    """Definitions and statistics as JSON files below root."""
+    """Definitions and statistics as JSON files below root, each a folder of its versions."""
 
     def __init__(self, files: Files):
         self.files = files
@@ -200,12 +205,12 @@ class Catalog:
         return [n[:-5] for n in self.files.names("_catalog") if n.endswith(".json") and not n.endswith(".stats.json")]
 
     def has(self, name: str) -> bool:
-        return self.files.exists(self._file(name))
+        return bool(self.files.names(self._file(name)))
 
     def get(self, name: str) -> TableDef:
         if not self.has(name):
             raise CatalogError(f"no table {name}")
-        d = json.loads(self.files.read(self._file(name)))
+        d = json.loads(self.files.latest(self._file(name))[1])
         return TableDef(d["name"], [ColumnDef(**c) for c in d["columns"]], [IndexDef(**i) for i in d["indexes"]])
 
     def save(self, table: TableDef) -> None:
@@ -240,5 +245,5 @@ class Catalog:
         self.files.write(f"_catalog/{name.lower()}.stats.json", json.dumps(stats))
 
     def stats(self, name: str) -> dict | None:
-        f = f"_catalog/{name.lower()}.stats.json"
-        return json.loads(self.files.read(f)) if self.files.exists(f) else None
+        text = self.files.latest(f"_catalog/{name.lower()}.stats.json")[1]
+        return json.loads(text) if text else None

@@ -13,7 +13,7 @@ from pyspark.sql.types import DoubleType
 
 from quarry.functions.hashing import Ring, hash_partition
 from quarry.operators import load, merkle, scans
-from quarry.operators.transactions import Transaction, transfer
+from quarry.operators.transactions import Transaction, open_transactions, transfer
 from quarry.plans.sql import Sql
 from quarry.sources.fs import scratch
 from quarry.sources.store import Store
@@ -37,11 +37,10 @@ class Engine:
         self.store.put(table, df)
 
     def get(self, table: str, *key) -> DataFrame:
-        full = f"{self.store.catalog.get(table).name}||" + "|".join(map(str, key))
-        return self.store.resolved(table).where(F.col("key") == full).select("row.*")
+        return self.store.view(table, [self.store.catalog.get(table).key_of(*key)])
 
     def versions(self, table: str, *key) -> DataFrame:
-        full = f"{self.store.catalog.get(table).name}||" + "|".join(map(str, key))
+        full = self.store.catalog.get(table).key_of(*key)
         return self.store.log(table).where(F.col("key") == full).orderBy("ts", "origin", "seq")
 
     def delete(self, table: str, *key) -> None:
@@ -73,6 +72,13 @@ class Engine:
     def begin(self) -> Transaction:
         return Transaction(self.store)
 
+    def transactions(self) -> DataFrame:
+        return open_transactions(self.store)
+
+    def abort(self, tx: str) -> None:
+        """A transaction that is aborted by its id fails when it is committed."""
+        self.store.files.delete(f"_tx/{tx}")
+
     # SQL and catalog
 
     def sql(self, text: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,29 +33,53 @@ def through(rows: DataFrame, key: Column, index: DataFrame, value, residual: Col
 
 
 class Indexes:
-    """Index tables of a store, sorted by value so that files and row groups of other values are skipped."""
-
-    def __init__(self, store: Store):
-        self.store = store
-
-    def _path(self, name: str, column: str, version: int) -> str:
-        return f"{self.store.root}/{name.lower()}/index/{column.lower()}-{version}"
-
-    def build(self, name: str, column: str) -> None:
-        table, version = self.store.catalog.get(name), self.store.state(name)["version"]
-        table.column(column)
-        df = entries(self.store.view(name), column, table.key_column())
-        df.repartitionByRange(F.col("value")).sortWithinPartitions("value").write.mode("overwrite").parquet(self._path(name, column, version))
-
-    def fresh(self, name: str, column: str) -> DataFrame | None:
-        """The index, if it is of the table's current version."""
-        version = self.store.state(name)["version"]
-        f = f"{name.lower()}/index/{column.lower()}-{version}/_SUCCESS"
-        return self.store.spark.read.parquet(self._path(name, column, version)) if self.store.files.exists(f) else None
+    """Index tables of a store, sorted by value so that files and row groups of other values are skipped.
+
+    An index stays in use when its table is written to: keys in segments that are newer than the index are candidates
+    for every value, next to the keys that the index has for it, and all conditions are applied to the rows found.
+    """
+
+    def __init__(self, store: Store, most: int = 1000):
+        self.store, self.most = store, most
+
+    def _folder(self, name: str, column: str) -> str:
+        return f"{name.lower()}/index/{column.lower()}"
+
+    def build(self, name: str, *columns: str) -> None:
+        """An index of the first column; the others are sorted and kept along with it."""
+        with self.store.lock:
+            table, state = self.store.catalog.get(name), self.store.state(name)
+            names = [table.column(c).name for c in columns]
+            folder = self._folder(name, columns[0])
+            df = self.store.view(name).select(F.col(names[0]).alias("value"), *names[1:], table.key_column().alias("key"))
+            path = f"{folder}/{state['version']:012d}-{state['next']}"
+            df.repartitionByRange("value", *names[1:]).sortWithinPartitions("value", *names[1:]).write.mode("overwrite").parquet(f"{self.store.root}/{path}")
+            self.store.files.write(f"{folder}.json", json.dumps({"path": path, "next": state["next"]}))
+
+    def candidates(self, name: str, column: str, value) -> DataFrame | None:
+        """Keys among which all of a value are, or null without an index."""
+        text = self.store.files.latest(f"{self._folder(name, column)}.json")[1]
+        if not text:
+            return None
+        of, state = json.loads(text), self.store.state(name)
+        base = self.store.spark.read.parquet(f"{self.store.root}/{of['path']}").where(F.col("value") == F.lit(value)).select("key")
+        newer = [s for s in state["segments"] if int(s.rpartition("/")[2]) >= of["next"]]
+        return base.union(self.store.keys(name, newer)) if newer else base
+
+    def rows(self, name: str, column: str, value) -> DataFrame | None:
+        """Current rows among which all with a value are, or null without an index.
+
+        Few keys are looked up by themselves, so that files and row groups without them are skipped; more are joined.
+        """
+        keys = self.candidates(name, column, value)
+        if keys is None:
+            return None
+        few = [r[0] for r in keys.distinct().limit(self.most + 1).collect()]  # at most ``most`` and one
+        if len(few) <= self.most:
+            return self.store.view(name, few)
+        return self.store.view(name).withColumn("_key", self.store.catalog.get(name).key_column()).join(keys.withColumnRenamed("key", "_key"), "_key", "left_semi").drop("_key")
 
     def query(self, name: str, column: str, value) -> DataFrame:
-        """Keys of a value: from the index if it is fresh, else from the rows."""
-        index = self.fresh(name, column)
-        if index is None:
-            index = entries(self.store.view(name), column, self.store.catalog.get(name).key_column())
-        return lookup(index, value)
+        """Keys of a value, in order: through the index if there is one, else from all rows."""
+        rows = self.rows(name, column, value)
+        return lookup(entries(self.store.view(name) if rows is None else rows, column, self.store.catalog.get(name).key_column()), value)

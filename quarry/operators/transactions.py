@@ -1,9 +1,10 @@
 """Transactions over a store, and reports on conflicts in a history of operations.
 
-A transaction stages its operations in a folder of its own. Commit checks, under
-the store's lock, that no operation committed after its start wrote a key that it
+A transaction stages its operations in a folder of its own, which is there as long as it
+is open: without it, after an abort by id, it can't commit. Commit checks, under
+the store's lock, that no segment added since its start wrote a key that it
 read or writes (the first to commit wins), then adds the staged operations to the
-log. Its own reads see its own writes.
+logs of all its tables and then its marker, from when on all of them are seen. Its own reads see its own writes.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ class Transaction:
         self.staged: dict[str, DataFrame] = {}
         self.read: dict[str, set[str]] = {}
         self.open = True
+        store.files.create(f"_tx/{self.id}/start", str(self.start))
 
     def _stage(self, name: str, ops: DataFrame) -> None:
         if not self.open:
@@ -50,7 +52,7 @@ class Transaction:
     def get(self, name: str, *key) -> DataFrame:
         """The row of a key; the key joins the read set."""
         table = self.store.catalog.get(name)
-        full = f"{table.name}||" + "|".join(map(str, key))
+        full = table.key_of(*key)
         self.read.setdefault(name, set()).add(full)
         ops = self.store.resolved(name, tombstones=True)
         if name in self.staged:
@@ -59,6 +61,8 @@ class Transaction:
 
     def commit(self) -> None:
         with self.store.lock:
+            if not self.store.files.exists(f"_tx/{self.id}/start"):
+                raise self._failed("the transaction was aborted")
             for name in {*self.staged, *self.read}:
                 since = self.store.log(name).where(F.col("ts") > self.start).select("key")
                 read = sorted(self.read.get(name, ()))
@@ -66,9 +70,16 @@ class Transaction:
                     raise self._failed(f"{name}: a key that was read has changed")
                 if name in self.staged and not self.staged[name].join(since, "key", "left_semi").isEmpty():
                     raise self._failed(f"{name}: a key that is written has changed")
+                if name in self.staged:
+                    self.store.check_unique(self.store.catalog.get(name), latest(self.staged[name], ["key"]).select("row.*"))
+            stamp = self.store.tick()
             for name, ops in self.staged.items():
                 # stamped anew: the commit is what others see
-                self.store.append(name, ops.withColumn("ts", F.lit(self.store.tick())))
+                self.store.append(name, ops.withColumn("ts", F.lit(stamp)), tx=self.id)
+            self.store.files.create(f"_committed/{self.id}", str(stamp))
+            for name in self.staged:
+                self.store.settle(name)
+            self.store.files.delete(f"_committed/{self.id}")  # no state names it any longer
             self.abort()
 
     def _failed(self, why: str) -> Conflict:
@@ -80,6 +91,12 @@ class Transaction:
         self.store.files.delete(f"_tx/{self.id}")
 
 
+def open_transactions(store: Store) -> DataFrame:
+    """(tx, start) of the transactions that are neither committed nor aborted."""
+    rows = [(i, int(store.files.read(f"_tx/{i}/start"))) for i in store.files.names("_tx") if store.files.exists(f"_tx/{i}/start")]
+    return store.spark.createDataFrame(rows, "tx string, start long")
+
+
 def balances(ops: DataFrame, key: str, amount: str) -> DataFrame:
     """Sums of increments; amounts that aren't numbers count as 0."""
     return ops.groupBy(key).agg(F.sum(F.coalesce(F.col(amount).try_cast("double"), F.lit(0.0))).alias("balance"))

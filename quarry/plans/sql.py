@@ -9,11 +9,11 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.catalog import CatalogError, IndexDef, parse_column, parse_create, split_top
-from quarry.operators.index import Indexes, through
+from quarry.catalog import CatalogError, IndexDef, TableDef, parse_column, parse_create, split_top
+from quarry.operators.index import Indexes
 from quarry.plans.explain import plan_tree
 from quarry.plans.stats import Path, access_path, analyze
 from quarry.sources.store import Store
@@ -83,8 +83,11 @@ class Sql:
         if not m:
             raise SqlError("CREATE INDEX name ON table (column)")
         columns = split_top(m[4])
-        self.store.catalog.add_index(m[3], IndexDef(m[2], columns, bool(m[1])))
-        self.indexes.build(m[3], columns[0])
+        table, index = self.store.catalog.get(m[3]), IndexDef(m[2], columns, bool(m[1]))
+        with self.store.lock:
+            self.store.check_unique(TableDef(table.name, table.columns, [index]), self.store.view(table.name))
+            self.store.catalog.add_index(m[3], index)
+            self.indexes.build(m[3], *columns)
         return self._done(0)
 
     def _alter(self, sql: str) -> DataFrame:
@@ -111,9 +114,9 @@ class Sql:
 
     def _write(self, name: str, rows: DataFrame, delete: bool = False) -> int:
         """Append and count from what was written, so that rows are computed once."""
-        before = self.store.state(name)["next"]
-        (self.store.delete if delete else self.store.put)(name, rows)
-        return self.spark.read.parquet(f"{self.store.root}/{name.lower()}/ops/{before:08d}").count()
+        counted = Observation()
+        (self.store.delete if delete else self.store.put)(name, rows.observe(counted, F.count(F.lit(1)).alias("n")))
+        return counted.get["n"]
 
     def _update(self, sql: str) -> DataFrame:
         m = re.match(rf"UPDATE\s+{_N}\s+SET\s+(.+)$", sql, re.I | re.S)
@@ -183,10 +186,9 @@ class Sql:
     def _select(self, sql: str) -> DataFrame:
         s = self._simple(sql)
         if s and access_path(self.store.catalog.stats(s[0]), s[1], True).kind == "IndexScan":
-            index = self.indexes.fresh(s[0], s[1])
-            if index is not None:
-                table = self.store.catalog.get(s[0])
-                through(self.store.view(s[0]), table.key_column(), index, s[2]).createOrReplaceTempView(s[0])
+            rows = self.indexes.rows(s[0], s[1], s[2])
+            if rows is not None:
+                rows.createOrReplaceTempView(s[0])
                 return self.spark.sql(sql)  # all conditions are applied again
         self._register(sql)
         return self.spark.sql(sql)

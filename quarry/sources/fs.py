@@ -27,16 +27,45 @@ class Files:
         finally:
             stream.close()
 
-    def write(self, name: str, text: str) -> None:
-        """Replace a file as a whole: readers see the old text or the new one."""
+    def _put(self, name: str, text: str):
         path, fs = self._path(name)
-        fresh, _ = self._path(f"{name}.{uuid.uuid4().hex}")
-        stream = fs.create(fresh)
+        stream = fs.create(path)
         stream.write(bytearray(text.encode()))
         stream.close()
+        return path, fs
+
+    def create(self, name: str, text: str) -> bool:
+        """Put a file in place that wasn't there, whole or not at all; false if it was."""
+        path, fs = self._path(name)
         if fs.exists(path):
-            fs.delete(path, False)
-        fs.rename(fresh, path)
+            return False
+        fresh, _ = self._put(f"{name}.{uuid.uuid4().hex}.new", text)
+        if fs.rename(fresh, path):
+            return True
+        fs.delete(fresh, False)
+        return False
+
+    def latest(self, folder: str) -> tuple[int, str | None]:
+        """Number and text of the last of the numbered files of a folder, 0 and null if there is none."""
+        numbers = [int(n[:-5]) for n in self.names(folder) if n.endswith(".json") and n[:-5].isdigit()]
+        return (max(numbers), self.read(f"{folder}/{max(numbers):012d}.json")) if numbers else (0, None)
+
+    def replace(self, folder: str, after: int, text: str) -> bool:
+        """Add the numbered file after the given one; false if another writer was first.
+
+        Readers take the last one, so they see the old text or the new one, also if this stops at any point.
+        """
+        if not self.create(f"{folder}/{after + 1:012d}.json", text):
+            return False
+        for n in self.names(folder):
+            if n[:-5].isdigit() and int(n[:-5]) < after:
+                self.delete(f"{folder}/{n}")
+        return True
+
+    def write(self, name: str, text: str) -> None:
+        """The text under a name, kept as numbered files in a folder of that name."""
+        while not self.replace(name, self.latest(name)[0], text):
+            pass
 
     def delete(self, name: str) -> None:
         path, fs = self._path(name)
@@ -51,7 +80,9 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new folder for working tables, in the shared folder that the cluster names."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
-        base = f"file://{tempfile.gettempdir()}/checkpoints"  # only where none is set: local mode
+        base = f"file://{tempfile.gettempdir()}/checkpoints"
     return f"{base}/{name}-{uuid.uuid4().hex}"

@@ -188,7 +188,12 @@ def test_ingest_is_repeatable(spark, root, tmp_path):
         stream = ingest.read_log(spark, str(tmp_path / "in"), "k string, v string, is_delete boolean")
         ingest.ingest(stream, store, "kv", f"{tmp_path}/cp{n}").awaitTermination()  # the second time a checkpoint was lost
     assert sorted(tuple(r) for r in store.view("kv").collect()) == [("a", "1"), ("b", "2")]
-    assert store.log("kv").count() == 2
+    spark.createDataFrame([("c", "3", False)], "k string, v string, is_delete boolean").write.json(str(tmp_path / "other"))
+    stream = ingest.read_log(spark, str(tmp_path / "other"), "k string, v string, is_delete boolean")
+    ingest.ingest(stream, store, "kv", f"{tmp_path}/cp-other").awaitTermination()  # another stream with the same batch numbers
+    assert sorted(tuple(r) for r in store.view("kv").collect()) == [("a", "1"), ("b", "2"), ("c", "3")]
+    ingest.ingest(stream, store, "kv", f"{tmp_path}/cp-other").awaitTermination()
+    assert store.log("kv").where("key = 'kv||c'").count() == 1
 
 
 def test_store_survives_late_operations(spark, root):
