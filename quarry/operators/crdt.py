@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.sources.store import Store
+
 
 def counter_states(increments: DataFrame, keys: list[str], replica: str, amount: str) -> DataFrame:
     """One state map<replica, total> per key."""
@@ -37,3 +39,16 @@ def merge_sets(a: Column, b: Column) -> Column:
 def set_value(adds: Column, removes: Column) -> Column:
     none = F.array().cast("array<string>")
     return F.filter(F.map_keys(adds), lambda e: F.size(F.array_except(F.element_at(adds, e), F.coalesce(F.try_element_at(removes, e), none))) > 0)
+
+
+def apply_increments(store: Store, name: str, column: str, increments: DataFrame) -> None:
+    """Add increments (the table's keys, replica, amount) to the counter states map<replica, total> of a table."""
+    table = store.catalog.get(name)
+    with store.lock:
+        new = counter_states(increments, table.keys, "replica", "amount").withColumnRenamed("state", "_new")
+        old = store.view(name)
+        zero = F.lit(0).cast("long")
+        none = F.create_map().cast("map<string,bigint>")
+        sums = F.map_zip_with(F.coalesce(F.col(column), none), F.col("_new").cast("map<string,bigint>"), lambda _, x, y: F.coalesce(x, zero) + F.coalesce(y, zero))
+        rows = new.join(old, table.keys, "left").select(*(sums.alias(c.name) if c.name == column else F.col(c.name) for c in table.columns))
+        store.put(name, rows)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.hashing import salt
+from quarry.operators.resolve import latest
+
 
 def partition_counts(spark: SparkSession, ops: DataFrame, pid: str, n: int, key: str) -> DataFrame:
     """(pid, ops, items) of all n partitions, empty ones included."""
@@ -50,6 +53,17 @@ def keys_to_salt(ops: DataFrame, key: str, threshold: int) -> DataFrame:
     return key_frequency(ops, key).where(F.col("n") >= threshold)
 
 
+def salted_latest(ops: DataFrame, key: str, hot: DataFrame, spread: str, buckets: int, order: tuple[str, ...]) -> DataFrame:
+    """The last operation of each key, where the operations of hot keys (a column ``key``) are dealt over salted keys.
+
+    The winner of each salted key is found first, then the winner over the buckets of a key.
+    """
+    marked = ops.join(hot.select(key).distinct().withColumn("_hot", F.lit(True)), key, "left")
+    own = F.when(F.col("_hot"), salt(F.col(key), F.col(spread), buckets)).otherwise(F.concat(F.lit("0#"), F.col(key).cast("string")))
+    each = latest(marked.withColumn("_salted", own).drop("_hot"), ["_salted"], order, True).drop("_salted")
+    return latest(each, [key], order, True)
+
+
 def rebalanced(partitions: int, nodes: list[str]) -> dict[int, str]:
     """Owners of partitions, as many for each node as for another, give or take one."""
     return {p: nodes[p * len(nodes) // partitions] for p in range(partitions)}

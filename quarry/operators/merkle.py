@@ -12,55 +12,52 @@ def leaf(key: Column, value: Column) -> Column:
     return F.sha2(F.concat(key.cast("string"), F.lit(":"), value.cast("string")).cast("binary"), 256)
 
 
-def _numbered(df: DataFrame, key: str) -> DataFrame:
-    """Ranks from 0 in the order of keys: within the parts of a range partitioning, shifted by the counts before them."""
-    parts = df.repartitionByRange(F.col(key)).sortWithinPartitions(key)
-    parts = parts.select(key, "h", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
-    # the id's low 33 bits number the rows of a partition
-    parts = parts.withColumn("i", F.col("m").bitwiseAND(F.lit((1 << 33) - 1)))
-    return parts
+def _folded(nodes: Column, levels: Column) -> Column:
+    """The node that many levels above an aligned run of nodes; at each level an odd last node pairs with itself."""
+
+    def up(level: Column, _: Column) -> Column:
+        n = F.size(level)
+        return F.transform(F.sequence(F.lit(0), F.ceil(n / 2).cast("int") - 1), lambda i: F.sha2(F.concat(F.get(level, 2 * i), F.get(level, F.least(2 * i + 1, n - 1))).cast("binary"), 256))
+
+    return F.get(F.when(levels > 0, F.aggregate(F.sequence(F.lit(1), levels), nodes, up)).otherwise(nodes), F.lit(0))
 
 
-def root(spark: SparkSession, df: DataFrame, key: str, value: str, scratch: str) -> str:
-    """The root over leaves in the order of keys; an odd last node pairs with itself; of nothing, the hash of "".
+def segment_roots(df: DataFrame, segment: str, key: str, value: str, scratch: str, *, depth: int = 12) -> DataFrame:
+    """(segment, root): the root over each segment's leaves in the order of keys; an odd last node pairs with itself.
 
-    Each level is half the one below and is written, so no plan grows with the
-    depth and no task sees more than its part of a level.
+    Leaves are numbered within the parts of a range partitioning by segment and key, shifted by the counts of the
+    parts and segments before them. Then each round folds aligned runs of 2 ** depth nodes, so a segment of a
+    billion rows takes three rounds and no task holds more than a run. Each round is written.
     """
-    level = df.select(F.col(key), leaf(F.col(key), F.col(value)).alias("h"))
-    _numbered(level, key).write.mode("overwrite").parquet(f"{scratch}/leaves")
+    spark = df.sparkSession
+    leaves = df.select(F.col(segment).alias("s"), F.col(key).alias("k"), leaf(F.col(key), F.col(value)).alias("h"))
+    leaves = leaves.repartitionByRange("s", "k").sortWithinPartitions("s", "k")
+    # the id's low 33 bits number the rows of a partition
+    parts = leaves.select("s", "h", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("m"))
+    parts.write.mode("overwrite").parquet(f"{scratch}/leaves")
     rows = spark.read.parquet(f"{scratch}/leaves")
     counts = sorted((r["p"], r["n"]) for r in rows.groupBy("p").agg(F.count("*").alias("n")).collect())  # one row a partition
-    shift, total = {}, 0
+    shift, total = [], 0
     for p, n in counts:
-        shift[p], total = total, total + n
-    if not total:
-        return EMPTY
-    table = spark.createDataFrame([(p, s) for p, s in shift.items()], "p int, s long")
-    rows = rows.join(table, "p").select((F.col("i") + F.col("s")).alias("i"), "h")
-    depth = 0
-    while total > 1:
-        up = rows.groupBy(F.floor(F.col("i") / 2).cast("long").alias("j")).agg(F.min_by("h", "i").alias("a"), F.max_by("h", "i").alias("b"))
-        up.select(F.col("j").alias("i"), F.sha2(F.concat("a", "b").cast("binary"), 256).alias("h")).write.mode("overwrite").parquet(f"{scratch}/level-{depth}")
-        rows, total, depth = spark.read.parquet(f"{scratch}/level-{depth}"), (total + 1) // 2, depth + 1
-    return rows.first()["h"]
-
-
-def segment_roots(df: DataFrame, segment: str, key: str, value: str, most: int = 1 << 20) -> DataFrame:
-    """The root of each segment, folded in place: a segment holds a bounded number of rows, ``most`` at most."""
-    leaves = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), leaf(F.col(key), F.col(value)).alias("h"))))
-    grouped = df.groupBy(segment).agg(F.count("*").alias("n"), leaves.alias("l"))
-    grouped = grouped.withColumn("l", F.when(F.col("n") <= most, F.col("l")).otherwise(F.raise_error(F.lit("a segment is too large to fold; use root()"))))
-    nodes = F.transform("l", lambda x: x["h"])
-    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.log2(F.col("n"))).cast("int")))
-
-    def up(level: Column, _: Column) -> Column:
-        n = F.size(level)
-        pairs = F.sequence(F.lit(0), F.ceil(n / 2).cast("int") - 1)
-        folded = F.transform(pairs, lambda i: F.sha2(F.concat(F.get(level, 2 * i), F.get(level, F.least(2 * i + 1, n - 1))).cast("binary"), 256))
-        return F.when(n > 1, folded).otherwise(level)
-
-    return grouped.select(segment, F.get(F.aggregate(steps, nodes, up), F.lit(0)).alias("root"))
+        shift.append((p, total))
+        total += n
+    rows = rows.join(spark.createDataFrame(shift, "p int, shift long"), "p").select("s", (F.col("m") + F.col("shift")).alias("i"), "h")
+    sizes = rows.groupBy(F.col("s").alias("z")).agg(F.min("i").alias("start"), F.count("*").alias("n"))
+    rows = rows.join(sizes, F.col("s").eqNullSafe(F.col("z"))).select("s", (F.col("i") - F.col("start")).alias("i"), "n", "h")
+    most, number = sizes.agg(F.max("n")).first()[0] or 0, 0
+    while most > 1:
+        runs = rows.groupBy("s", F.shiftright("i", depth).alias("i")).agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("i", "h"))).alias("l"))
+        levels = F.least(F.lit(depth), F.ceil(F.log2("n")).cast("int"))
+        runs = runs.select("s", "i", F.ceil(F.col("n") / (1 << depth)).cast("long").alias("n"), _folded(F.transform("l", lambda x: x["h"]), levels).alias("h"))
+        runs.write.mode("overwrite").parquet(f"{scratch}/round-{number}")
+        rows, most, number = spark.read.parquet(f"{scratch}/round-{number}"), -(-most // (1 << depth)), number + 1
+    return rows.select(F.col("s").alias(segment), F.col("h").alias("root"))
+
+
+def root(spark: SparkSession, df: DataFrame, key: str, value: str, scratch: str, *, depth: int = 12) -> str:
+    """The root over all leaves; of nothing, the hash of ""."""
+    one = segment_roots(df.withColumn("_all", F.lit(0)), "_all", key, value, scratch, depth=depth).first()
+    return one["root"] if one else EMPTY
 
 
 def differing_keys(local: DataFrame, remote: DataFrame, key: str, value: str) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.hashing import hash_partition
+from quarry.sources.store import Store
+
 
 def scan_range(df: DataFrame, partition: Column, clustering: str, start, end) -> DataFrame:
     """Rows of one partition key with start <= clustering <= end, in order."""
@@ -41,3 +44,16 @@ def event_log(lines: DataFrame, column: str = "value") -> DataFrame:
     form = r"^\[(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)\] (.*)$"
     df = lines.where(F.col(column).rlike(form))
     return df.select(F.to_timestamp(F.regexp_extract(column, form, 1)).alias("time"), F.regexp_extract(column, form, 2).alias("message"))
+
+
+def move_partition(source: Store, target: Store, name: str, pid: int, n: int) -> int:
+    """Hand the operations of one of n hash partitions of a table to another store and delete their rows here; their number."""
+    with source.lock, target.lock:
+        table = source.catalog.get(name)
+        ops = source.log(name).where(hash_partition(F.col("key"), n) == pid)
+        moved = ops.count()
+        if moved:
+            target.append(name, ops)
+            here = source.resolved(name).where(hash_partition(F.col("key"), n) == pid).select("row.*")
+            source.append(name, source.operations(table, here, delete=True))
+        return moved

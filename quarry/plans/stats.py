@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 
 
 def analyze(df: DataFrame) -> DataFrame:
-    """(column, num_rows, num_distinct), null being a value; one pass, one row to the driver's plan per column."""
-    ndv = [(F.count_distinct(c) + F.coalesce(F.max(F.col(c).isNull().cast("int")), F.lit(0))).cast("long").alias(c) for c in df.columns]
-    one = df.agg(F.count("*").alias("num_rows"), *ndv)
-    pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("num_distinct")) for c in df.columns))
-    return one.select("num_rows", F.inline(pairs)).select("column", "num_rows", "num_distinct")
+    """(column, num_rows, num_distinct), null being a value. One aggregate a column, which reads that column alone and
+    shuffles its distinct values; in one aggregate for all, every row would be shuffled once a column."""
+    out = None
+    for c in df.columns:
+        value = F.col(f"`{c}`")
+        ndv = (F.count_distinct(value) + F.coalesce(F.max(value.isNull().cast("int")), F.lit(0))).cast("long")
+        one = df.select(value).agg(F.count("*").alias("num_rows"), ndv.alias("num_distinct")).select(F.lit(c).alias("column"), "num_rows", "num_distinct")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @dataclass(frozen=True)

@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.catalog import parse_create
+from quarry.engine import Engine
 from quarry.functions.clocks import compare, merge
 from quarry.functions.hashing import Ranges, Ring, hash_partition, salt, unsalt
 from quarry.operators import crdt, index, load, merkle, resolve, scans
@@ -15,6 +17,7 @@ from quarry.operators import transactions as tx
 from quarry.plans.sql import connect
 from quarry.plans.stats import analyze
 from quarry.sources.fs import scratch
+from quarry.sources.store import Store
 from quarry.sources.tables import load as table
 from quarry.streaming import ingest
 
@@ -167,7 +170,11 @@ def merge_segments(spark, d):
 
 @query("SELECT user_id AS key, event_id AS seq, value, event_type FROM events WHERE user_id = 7 ORDER BY event_id")
 def point_get_versions(spark, d):
-    return _ops(spark, d).where("key = 7").select("key", "seq", "value", "event_type")
+    e = Engine(spark, scratch(spark, "store"))
+    e.sql("CREATE TABLE ev (key int PRIMARY KEY, seq int, value double, event_type string)")
+    ops = _ops(spark, d).select("key", "seq", "value", "event_type")
+    e.store.append("ev", e.store.operations(e.store.catalog.get("ev"), ops, ts=F.col("seq")))
+    return e.versions("ev", 7).select("row.key", "row.seq", "row.value", "row.event_type")
 
 
 @query("""SELECT user_id AS key, event_id AS seq FROM events WHERE event_id % 7 <> 3 AND (event_type <> 'error' OR event_id % 7 = 5)""")
@@ -190,15 +197,23 @@ def list_records_page(spark, d):
     return scans.page(table(spark, d, "part").select("p_partkey", "p_name", "p_brand"), ["p_partkey"], 10, 25, "A", ["p_name", "p_brand"])
 
 
-@query("SELECT o_orderkey % 5 AS segment, count(*) AS items, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key FROM orders GROUP BY 1")
+def _three_segments(spark, d) -> Store:
+    store = Store(spark, scratch(spark, "store"))
+    store.catalog.create(parse_create("CREATE TABLE ord (o_orderkey int PRIMARY KEY, o_custkey int, o_totalprice double)"))
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    for i in range(3):
+        store.put("ord", o.where(F.pmod("o_orderkey", F.lit(3)) == i))
+    return store
+
+
+@query("SELECT 'ops/0000000' || (o_orderkey % 3) || '/' AS segment, count(*) AS items, min('ord||' || o_orderkey) AS first_key, max('ord||' || o_orderkey) AS last_key FROM orders GROUP BY 1")
 def segment_summary(spark, d):
-    return scans.segment_summary(table(spark, d, "orders"), F.pmod("o_orderkey", F.lit(5)), "o_orderkey")
+    return _three_segments(spark, d).segments("ord").select("segment", "items", "first_key", "last_key")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_linenumber = 2")
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey % 3 = 1")
 def segment_scan(spark, d):
-    # the line number is the segment
-    return table(spark, d, "lineitem").where("l_linenumber = 2").select("l_orderkey", "l_linenumber", "l_partkey")
+    return _three_segments(spark, d).segment("ord", 1).select("row.*")
 
 
 @query("SELECT date_trunc('second', ts)::timestamp AS time, 'event ' || event_id || ' ' || event_type AS message FROM events")
@@ -243,10 +258,13 @@ def vclock_winner(spark, d):
     return resolve.winner(ops, ["key"], value="grp").select("key", "grp")
 
 
-@query("SELECT DISTINCT user_id AS key, event_type AS op FROM events")
+@query("SELECT event_id, user_id, value FROM events")
 def duplicate_suppression(spark, d):
-    e = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_type").alias("op"))
-    return resolve.without_duplicates(e, F.concat_ws(":", F.col("key").cast("string"), "op")).select("key", "op")
+    e = Engine(spark, scratch(spark, "store"))
+    e.sql("CREATE TABLE ev (event_id int PRIMARY KEY, user_id int, value double)")
+    e.store.put("ev", table(spark, d, "events").select("event_id", "user_id", "value"))
+    log = e.log("ev")
+    return resolve.without_duplicates(log.unionByName(log.where("partition_key < '5'"))).select("row.*")  # part of it is delivered twice
 
 
 @query("""WITH r AS (SELECT user_id AS key, event_id % 3 AS replica, arg_max(event_id, ts) AS value, max(ts) AS ts FROM events GROUP BY 1, 2),
@@ -306,7 +324,21 @@ l4 AS (SELECT region, i // 2 AS i, sha256(arg_min(h, i) || arg_max(h, i)) AS h F
 k4 AS (SELECT l4.* FROM l4 JOIN s USING (region) WHERE n > 8 UNION ALL SELECT k3.* FROM k3 JOIN s USING (region) WHERE n <= 8)
 SELECT region AS n_regionkey, h AS root FROM k4""")
 def merkle_segments(spark, d):
-    return merkle.segment_roots(table(spark, d, "nation"), "n_regionkey", "n_nationkey", "n_name")
+    return merkle.segment_roots(table(spark, d, "nation"), "n_regionkey", "n_nationkey", "n_name", scratch(spark, "merkle"))
+
+
+def _merkle_orders_sql(depth: int = 24) -> str:
+    """Levels beyond the root repeat it: a single node stays."""
+    sql = "WITH l0 AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i, sha256(o_orderkey::varchar || ':' || o_orderpriority) AS h FROM orders)"
+    for k in range(depth):
+        sql += f", n{k} AS (SELECT count(*) AS n FROM l{k}), l{k + 1} AS (SELECT i // 2 AS i, CASE WHEN (SELECT n FROM n{k}) > 1 THEN sha256(arg_min(h, i) || arg_max(h, i)) ELSE min(h) END AS h FROM l{k} GROUP BY i // 2)"
+    return f"{sql} SELECT h AS root FROM l{depth}"
+
+
+@query(_merkle_orders_sql())
+def merkle_root_orders(spark, d):
+    root = merkle.root(spark, table(spark, d, "orders"), "o_orderkey", "o_orderpriority", scratch(spark, "merkle"))
+    return spark.createDataFrame([(root,)], "root string")
 
 
 # placement
@@ -420,9 +452,20 @@ def salted_counts(spark, d):
     return part.groupBy(unsalt(F.col("salted")).alias("key")).agg(F.sum("n").alias("n"), F.round(F.sum("total"), 2).alias("total"))
 
 
-@query("SELECT event_id, user_id, value FROM events WHERE ('0x' || substr(sha1(user_id::varchar), 39, 2))::bigint % 128 = 17")
+@query("SELECT user_id AS key, event_id AS seq, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def salted_latest(spark, d):
+    ops = _ops(spark, d)
+    return load.salted_latest(ops, "key", load.keys_to_salt(ops, "key", 60), "seq", 8, resolve.ORDER).select("key", "seq", "value")
+
+
+@query("SELECT event_id, user_id, value FROM events WHERE ('0x' || substr(sha1('ev||' || event_id), 39, 2))::bigint % 128 = 17")
 def partition_transfer(spark, d):
-    return table(spark, d, "events").where(hash_partition(F.col("user_id"), 128) == 17).select("event_id", "user_id", "value")
+    here, there = (Store(spark, scratch(spark, "store"), origin) for origin in ("here", "there"))
+    for store in (here, there):
+        store.catalog.create(parse_create("CREATE TABLE ev (event_id int PRIMARY KEY, user_id int, value double)"))
+    here.put("ev", table(spark, d, "events").select("event_id", "user_id", "value"))
+    scans.move_partition(here, there, "ev", 17, 128)
+    return there.view("ev").join(here.view("ev").select("event_id"), "event_id", "left_anti")
 
 
 @query("SELECT count(*) AS ops, greatest(1.0, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6) AS seconds, round(sum(value), 2) AS total, round(count(*) / greatest(1.0, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 9) AS throughput FROM events")
@@ -475,11 +518,42 @@ def dml_delete_view(spark, d):
     return sql.store.view("cust")
 
 
-@query("SELECT c_custkey, c_name, NULL::bigint AS age FROM customer WHERE c_custkey <= 50")
+@query("SELECT c_custkey, c_name, NULL::bigint AS age FROM customer")
 def add_column_null(spark, d):
     sql = _store(spark, d)
     sql.execute("ALTER TABLE cust ADD COLUMN age int")
-    return sql.execute("SELECT c_custkey, c_name, age FROM cust WHERE c_custkey <= 50")
+    return sql.execute("SELECT c_custkey, c_name, age FROM cust")
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT 10000001, 'new', 5.0::double")
+def sql_index_after_write(spark, d):
+    sql = _store(spark, d)
+    sql.execute("CREATE INDEX by_segment ON cust (c_mktsegment)")
+    sql.execute("INSERT INTO cust (c_custkey, c_name, c_acctbal, c_mktsegment) VALUES (10000001, 'new', 5.0, 'BUILDING')")
+    return sql.execute("SELECT c_custkey, c_name, c_acctbal FROM cust WHERE c_mktsegment = 'BUILDING'")
+
+
+@query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer")
+def transaction_commit(spark, d):
+    e = Engine(spark, scratch(spark, "store"))
+    e.sql(_DDL)
+    e.store.put("cust", table(spark, d, "customer"))
+    first, second = e.begin(), e.begin()
+    first.put("cust", e.store.view("cust").where("c_mktsegment = 'BUILDING'").withColumn("c_acctbal", F.col("c_acctbal") + 1))
+    second.put("cust", e.store.view("cust").withColumn("c_acctbal", F.lit(0.0)))
+    first.commit()
+    e.abort(second.id)
+    return e.store.view("cust").select("c_custkey", "c_acctbal")
+
+
+@query("SELECT user_id, count(*) AS value FROM events GROUP BY user_id")
+def counter_apply(spark, d):
+    store = Store(spark, scratch(spark, "store"))
+    store.catalog.create(parse_create("CREATE TABLE cnt (user_id int PRIMARY KEY, state map<string,bigint>)"))
+    e = table(spark, d, "events").select("user_id", F.col("event_type").alias("replica"), F.lit(1).alias("amount"), "event_id")
+    for i in range(2):
+        crdt.apply_increments(store, "cnt", "state", e.where(F.pmod("event_id", F.lit(2)) == i))
+    return crdt.counter_value(store.view("cnt"), ["user_id"])
 
 
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 0")
@@ -516,11 +590,15 @@ def min_acknowledged(spark, d):
     return tx.acknowledged(table(spark, d, "events").groupBy("event_type").agg(F.max("event_id").alias("seq")))
 
 
-@query("SELECT event_id, user_id FROM events WHERE event_id > (SELECT quantile_disc(event_id, 0) + 100 FROM events)")
+@query("SELECT event_id, user_id FROM events WHERE event_id % 3 = 0")
 def fetch_updates(spark, d):
-    e = table(spark, d, "events").select("event_id", "user_id", F.lit("a").alias("origin"))
-    seen = e.groupBy("origin").agg((F.min("event_id") + 100).alias("seen"))
-    return e.join(seen, "origin").where("event_id > seen").select("event_id", "user_id")
+    e = Engine(spark, scratch(spark, "store"))
+    e.sql("CREATE TABLE ev (event_id int PRIMARY KEY, user_id int)")
+    rows = table(spark, d, "events").select("event_id", "user_id")
+    e.store.put("ev", rows.where("event_id % 3 <> 0"))
+    seen = spark.createDataFrame(e.replication("ev").select("origin", F.col("last_seq").alias("seq")).collect(), "origin string, seq long")  # a peer's view, one row an origin
+    e.store.put("ev", rows.where("event_id % 3 = 0"))  # what the peer lacks
+    return e.updates("ev", seen).select("row.event_id", "row.user_id")
 
 
 # streaming
@@ -535,7 +613,7 @@ def _events_stream(spark, d) -> DataFrame:
 def streaming_lww(spark, d):
     e = _events_stream(spark, d)
     ops = e.select(F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), F.lit("a").alias("origin"), F.col("event_id").alias("seq"), "value")
-    return ingest.run_to_memory(ingest.current_values(ops, ["key"]), "streaming_lww").select("key", "seq", "value")
+    return ingest.run_to_table(ops, scratch(spark, "stream"), ["key"]).select("key", "seq", "value")
 
 
 @query("SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -549,8 +627,10 @@ def streaming_window_counts(spark, d):
 
 @query("SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY o_orderpriority HAVING count(*) > 10")
 def sql_group_having(spark, d):
-    table(spark, d, "orders").createOrReplaceTempView("orders")
-    return spark.sql(SQL["sql_group_having"])
+    sql = connect(spark, scratch(spark, "store"))
+    sql.execute("CREATE TABLE orders (o_orderkey int PRIMARY KEY, o_orderpriority string, o_totalprice double)")
+    sql.store.put("orders", table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"))
+    return sql.execute(SQL["sql_group_having"])
 
 
 @query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus")

@@ -207,6 +207,10 @@ class Store:
             for old in [*seen["segments"], *([state["snapshot"]] if state["snapshot"] else [])]:
                 self.files.delete(f"{table.name.lower()}/{old}")
 
+    def segment(self, name: str, number: int) -> DataFrame:
+        """The operations of one segment, by its place in the log."""
+        return self._read(self.catalog.get(name), [self.state(name)["segments"][number]])
+
     def segments(self, name: str) -> DataFrame:
         """(segment, kb, items, first_key, last_key) of each folder of the table."""
         df = self.log(name).select("key", F.regexp_extract(F.col("_metadata.file_path"), r"(ops|snapshots)/(\d+)/", 0).alias("segment"), F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("b"))

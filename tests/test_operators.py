@@ -79,9 +79,12 @@ def fold(leaves):
 def test_merkle_root(spark, root, n):
     df = spark.createDataFrame([(i, f"v{i}") for i in range(n)], "k int, v string").repartition(3)
     want = fold([f"{i}:v{i}" for i in range(n)])
-    assert merkle.root(spark, df, "k", "v", root) == want
-    if n:
-        assert merkle.segment_roots(df.withColumn("s", F.lit(1)), "s", "k", "v").first()["root"] == want
+    for depth in (1, 2, 12):  # many rounds, or one
+        assert merkle.root(spark, df, "k", "v", f"{root}/{depth}", depth=depth) == want
+    several = df.withColumn("s", F.when(F.col("k") < 5, "a").when(F.col("k") < 6, "b"))
+    got = {r["s"]: r["root"] for r in merkle.segment_roots(several, "s", "k", "v", f"{root}/s", depth=2).collect()}
+    parts = {s: [f"{i}:v{i}" for i in range(n) if ("a" if i < 5 else "b" if i < 6 else None) == s] for s in ("a", "b", None)}
+    assert got == {s: fold(x) for s, x in parts.items() if x}
 
 
 def test_merkle_difference(spark):
