@@ -193,3 +193,150 @@ def test_engine_reports(spark, root):
     assert e.replication("kv").first()["ops"] == 5
     assert e.tables().first()["columns"] == 3 and e.describe("kv").count() == 3
     assert e.time_series("kv").agg({"ops": "sum"}).first()[0] == 5
+
+
+def test_a_writer_that_stops_leaves_the_old_state(sql):
+    people(sql)
+    files, store = sql.store.files, sql.store
+    number, _ = store._latest("users")
+    before = rows(store.view("users"))
+    # segments and half a state that a stopped writer left
+    files._put("users/ops/00000007/part-0.parquet", "cut")
+    files._put(f"users/_state/{number + 1:012d}.json.abc.new", '{"segments": [')
+    assert rows(store.view("users")) == before
+    store.put("users", store.spark.createDataFrame([(9, 90)], "id int, age int"))
+    assert rows(store.view("users")) == [*before, (9, 90)]
+    # of two writers that start from one state the second fails, and nothing is lost
+    assert not files.replace("users/_state", number, "{}")
+    assert rows(store.view("users")) == [*before, (9, 90)]
+    for n in files.names("users/_state"):
+        files.delete(f"users/_state/{n}")
+    with pytest.raises(RuntimeError, match="no state"):
+        store.view("users")
+
+
+def test_sequence_numbers_go_on(spark, root):
+    e = Engine(spark, root)
+    e.sql("CREATE TABLE kv (k string PRIMARY KEY, v int)")
+    for i in range(3):
+        e.sql(f"INSERT INTO kv VALUES ('a', {i}), ('b', {i}), ('c', {i})")
+    seqs = [r["seq"] for r in e.log("kv").orderBy("ts", "seq").collect()]
+    assert seqs == sorted(set(seqs)) and len(seqs) == 9
+    seen = spark.createDataFrame(e.replication("kv").select("origin", "last_seq").toDF("origin", "seq").collect(), "origin string, seq long")
+    assert e.updates("kv", seen).isEmpty()
+    e.put("kv", k="d", v=4)
+    assert [r["row"]["k"] for r in e.updates("kv", seen).collect()] == ["d"]
+
+
+def test_commit_over_tables_is_seen_whole_or_not_at_all(spark, root, monkeypatch):
+    e = Engine(spark, root)
+    for t in ("t1", "t2"):
+        e.sql(f"CREATE TABLE {t} (k int PRIMARY KEY, v int)")
+        e.sql(f"INSERT INTO {t} VALUES (1, 0)")
+    row = spark.createDataFrame([(1, 5)], "k int, v int")
+    tx = e.begin()
+    tx.put("t1", row)
+    tx.put("t2", row)
+    append, calls = e.store.append, []
+
+    def stops(*args, **options):
+        calls.append(args)
+        if len(calls) == 2:
+            raise OSError("stopped between two tables")
+        append(*args, **options)
+
+    monkeypatch.setattr(e.store, "append", stops)
+    with pytest.raises(OSError, match="between"):
+        tx.commit()
+    monkeypatch.undo()
+    assert rows(e.store.view("t1")) == rows(e.store.view("t2")) == [(1, 0)]
+    e.compact("t1")
+    again = e.begin()
+    again.put("t1", row)
+    again.put("t2", row)
+    again.commit()
+    assert rows(e.store.view("t1")) == rows(e.store.view("t2")) == [(1, 5)]
+
+
+def test_transactions_are_listed_and_aborted_by_id(spark, root):
+    e = Engine(spark, root)
+    e.sql("CREATE TABLE t (k int PRIMARY KEY, v int)")
+    a, b = e.begin(), e.begin()
+    a.put("t", spark.createDataFrame([(1, 1)], "k int, v int"))
+    assert sorted(r["tx"] for r in e.transactions().collect()) == sorted([a.id, b.id])
+    e.abort(a.id)
+    with pytest.raises(Conflict):
+        a.commit()
+    b.commit()
+    assert e.transactions().isEmpty() and e.store.view("t").isEmpty()
+
+
+def test_keys_with_separators_are_different_rows(spark, root):
+    e = Engine(spark, root)
+    e.sql("CREATE TABLE t (a string, b string, v int, PRIMARY KEY (a, b))")
+    e.store.put("t", spark.createDataFrame([("a|b", "c", 1), ("a", "b|c", 2), ("a\\", "|c", 3), ("a\\|", "c", 4)], "a string, b string, v int"))
+    assert e.store.view("t").count() == 4
+    assert [e.get("t", *k).first()["v"] for k in (("a|b", "c"), ("a", "b|c"), ("a\\", "|c"), ("a\\|", "c"))] == [1, 2, 3, 4]
+
+
+def test_unique_index(sql):
+    sql.execute("CREATE TABLE u (id int PRIMARY KEY, mail string, city string)")
+    sql.execute("INSERT INTO u VALUES (1, 'a', 'x'), (2, 'b', 'x'), (3, NULL, 'x'), (4, NULL, 'y')")
+    sql.execute("CREATE UNIQUE INDEX by_mail ON u (mail)")
+    for bad in ("INSERT INTO u VALUES (5, 'a', 'z')", "INSERT INTO u VALUES (5, 'n', 'z'), (6, 'n', 'z')", "UPDATE u SET mail = 'b' WHERE id = 1"):
+        with pytest.raises(ValidationError, match="unique"):
+            sql.execute(bad)
+    sql.execute("UPDATE u SET mail = 'c' WHERE id = 1")
+    sql.execute("INSERT INTO u VALUES (5, 'a', 'z'), (6, NULL, 'z')")
+    with pytest.raises(ValidationError):
+        sql.execute("CREATE UNIQUE INDEX by_city ON u (city)")
+    assert rows(sql.execute("SELECT id FROM u WHERE mail = 'a'")) == [(5,)]
+
+
+def test_writes_end_with_a_compaction_after_many_segments(spark, root):
+    from quarry.sources.store import Store
+
+    store = Store(spark, root, flush_at=4)
+    store.catalog.create(parse_create("CREATE TABLE t (k int PRIMARY KEY, v int)"))
+    for i in range(6):
+        store.put("t", spark.createDataFrame([(i % 2, i)], "k int, v int"))
+    assert len(store.state("t")["segments"]) == 2 and rows(store.view("t")) == [(0, 4), (1, 5)]
+
+
+def test_an_index_reads_a_part_of_the_table(spark, root):
+    """Few keys are read by themselves: row groups of a snapshot in the order of keys are skipped."""
+    from quarry.plans.explain import physical_plan
+
+    e = Engine(spark, root)
+    e.sql("CREATE TABLE t (k int PRIMARY KEY, v int, pad string)")
+    spark.conf.set("parquet.block.size", str(1 << 16))
+    try:
+        e.store.put("t", spark.range(60_000).selectExpr("id AS k", "id AS v", "repeat(sha2(string(id), 256), 4) AS pad").repartition(1))
+        e.compact("t")
+        e.sql("CREATE INDEX by_v ON t (v)")
+    finally:
+        spark.conf.unset("parquet.block.size")
+    e.put("t", k=60_001, v=7, pad="late")
+
+    def read(df):
+        """Rows that the scans of a query handed on."""
+        df.collect()
+        total, todo = 0, [df._jdf.queryExecution().executedPlan()]
+        while todo:
+            node = todo.pop()
+            name = node.nodeName()
+            if name.startswith("AdaptiveSparkPlan"):
+                todo.append(node.executedPlan())
+            elif hasattr(node, "plan") and "QueryStage" in name:
+                todo.append(node.plan())
+            elif name.startswith("Scan parquet"):
+                total += node.metrics().apply("numOutputRows").value()
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+        return total
+
+    by_index = e.sql("SELECT k, v FROM t WHERE v = 7")
+    assert rows(by_index) == [(7, 7), (60_001, 7)]
+    assert "PushedFilters: [In(key" in physical_plan(by_index) or "EqualTo(key" in physical_plan(by_index)
+    scan = e.store.view("t").where("v = 7").select("k", "v")
+    assert rows(scan) == [(7, 7), (60_001, 7)]
+    assert read(e.sql("SELECT k, v FROM t WHERE v = 7")) * 10 < read(scan)
