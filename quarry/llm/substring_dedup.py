@@ -569,8 +569,9 @@ def every_position(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_i
         pairs = work.write(here.select("doc_id", "pos", "rank").join(there, ["doc_id", "pos"]), f"pairs-{have}")
         ordered = pairs.groupBy("rank", "next").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
         ordered = work.write(ordered.repartitionByRange("rank", "next").sortWithinPartitions("rank", "next").withColumn("new", F.monotonically_increasing_id()), f"order-{have}")
-        have += step
+        was, have = have, have + step
         here = work.write(pairs.join(ordered, ["rank", "next"]).select("doc_id", "pos", F.col("new").alias("rank"), "least"), f"rank-{have}")
+        work.drop(f"rank-{was}", f"pairs-{was}", f"order-{was}")
     return here.where("doc_id > least").select("doc_id", "pos")
 
 

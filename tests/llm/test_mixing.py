@@ -1,9 +1,14 @@
+import math
+import os
+
 import numpy as np
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from quarry.llm.common import Work
-from quarry.llm.mixing import fit_steps, label_domain, mix, rate
+from quarry.llm.mixing import TARGETS, TOKEN, domain_posteriors, fit_steps, label_domain, mix, op5_soft_membership_mix, rate
 
 
 def least_squares(a, goal, ridge=1e-4, rounds=200_000):
@@ -59,6 +64,60 @@ def test_classifier_and_copies(spark):
     assert all(abs(r["p_good"] + r["p_poor"] + r["p_toxic"] - 1) < 1e-9 and abs(r["copies"] - r["rate"]) < 1 for r in out)
 
 
+def test_posteriors_like_a_loop(spark):
+    """Naive Bayes over hashed tokens, counted and summed by plain loops."""
+    df = labelled(spark)
+    labels = df.where("doc_id % 3 <> 0").select("doc_id", label_domain(F.col("quality"), F.col("toxic")).alias("domain"))
+    buckets, domains = 512, ("good", "poor", "toxic")
+    docs = df.select(F.struct(F.lit(0)).alias("row"), "doc_id", "text")
+    got = {r["doc_id"]: [r[f"p_{k}"] for k in range(3)] for r in domain_posteriors(spark, docs, labels, domains, buckets=buckets).collect()}
+
+    def bag(text):
+        words = regex.findall(TOKEN, text.lower())
+        out = set()
+        for w in words:
+            h = xxhash.xxh64(w.encode(), seed=42).intdigest()
+            out.add((h - (1 << 64) if h >> 63 else h) % (buckets - 8))
+        return out | {buckets - 8 + min(7, len(words) // max(1, len(out)))}, len(words)
+
+    texts, of = {r["doc_id"]: r["text"] for r in df.collect()}, {r["doc_id"]: domains.index(r["domain"]) for r in labels.collect()}
+    sizes = [sum(d == k for d in of.values()) for k in range(3)]
+    n = [[sum(d == k and b in bag(texts[i])[0] for i, d in of.items()) for b in range(buckets)] for k in range(3)]
+    weight = [[0.0] * buckets for _ in range(3)]
+    for b in range(buckets):
+        column, telling = [], False
+        for k in range(3):
+            rest, others = sum(n[j][b] for j in range(3)) - n[k][b], max(1, sum(sizes) - sizes[k])
+            share, other = (n[k][b] + 0.5) / (sizes[k] + 1), (rest + 0.5) / (others + 1)
+            both = sum(n[j][b] for j in range(3)) / sum(sizes)
+            spread = math.sqrt(both * (1 - both) * (1 / max(1, sizes[k]) + 1 / others))
+            telling |= abs(n[k][b] / max(1, sizes[k]) - rest / others) >= 5 * max(spread, 1e-9) and abs(math.log(share) - math.log(other)) >= 2
+            column.append(math.log(share))
+        for k in range(3):
+            weight[k][b] = column[k] - sum(column) / 3 if telling else 0.0
+    assert sum(any(weight[k][b] for k in range(3)) for b in range(buckets)) >= 5
+    for i, text in texts.items():
+        b, tokens = bag(text)
+        z = [sum(weight[k][x] for x in b) / max(1.0, tokens / 300) + math.log(sizes[k] + 1) for k in range(3)]
+        e = [math.exp(x - max(z)) for x in z]
+        assert np.allclose(got[i], [x / sum(e) for x in e], atol=1e-5), i
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no driver tables")
+def test_documents_come_as_near_as_can_be(spark):
+    """Against the best of all nonnegative rates, found by plain projected gradients over all documents."""
+    out = op5_soft_membership_mix(spark, "/root/testdata/sf0.001").where("n_tokens > 0").collect()
+    a = np.array([[r["n_tokens"] * r[f"p_{d}"] for d in TARGETS] for r in out])
+    goal = np.array(list(TARGETS.values()))
+    a /= a.sum()
+    far = lambda r: float(((a.T @ r - goal) ** 2).sum())
+    best, step = np.ones(len(a)), 1 / np.linalg.eigvalsh(a.T @ a).max()
+    for _ in range(20_000):
+        best = np.maximum(0, best - step * (a @ (a.T @ best - goal)))
+    got = far(np.array([r["rate"] for r in out]))
+    assert far(best) <= got <= 1.3 * far(best) + 1e-4 and got < far(np.ones(len(a))) / 3
+
+
 def test_awkward(spark, awkward, nothing):
     labels = spark.createDataFrame([(4, "good"), (8, "poor"), (None, "good"), (99, "good"), (5, None)], "doc_id long, domain string")
     targets = {"good": 0.9, "poor": 0.1}

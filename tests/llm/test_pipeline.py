@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
+from quarry.llm.mixing import TARGETS
 from quarry.llm.queries import oracle_sql, queries
 
 FOLDER = "/root/testdata/sf0.001"
@@ -50,10 +51,14 @@ def test_decontamination_leaves_no_passage(spark, steps):
     assert all(len(after[i]) < len(before[i]) for i in after if found[i][1])
 
 
-def test_mixing_meets_the_targets(steps):
+def test_mixing_comes_near_the_targets(steps):
     out = steps["mixing"]
     total = out.agg(F.sum("n_tokens")).first()[0]
-    assert out.where("rate < 0 or copies < 0").isEmpty() and total > 0
+    assert out.where("rate < 0 or copies < 0 or abs(copies - rate) >= 1").isEmpty() and total > 0
+    shares = lambda rate: out.agg(*((F.sum(F.col("n_tokens") * F.col(f"p_{d}") * rate) / total).alias(d) for d in TARGETS)).first().asDict()
+    far = lambda got: sum((got[d] - share) ** 2 for d, share in TARGETS.items())
+    # few documents of this small table are surely of one domain: the fit ends at the nearest that can be reached
+    assert far(shares(F.col("rate"))) < far(shares(F.lit(1.0))) / 3
     assert {"text", "lang", "source", "rate", "copies"} <= set(out.columns)
 
 
