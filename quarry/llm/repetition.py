@@ -10,6 +10,9 @@ before doesn't extend it. The spans of repeats of at least ``min_words`` words a
 joined; a text fails if they cover more than ``max_covered`` of its words or if
 its longest repeat has more than ``max_longest`` words.
 
+Memory: a text is judged whole, with 8 bytes a word for each doubling, of which there are as many as the
+longest repeat has binary digits: a text of ten million words that is a single line over and over takes some 2 GB.
+
 Edge cases: null, empty and blank texts have no words and fail the base rule on
 length. Extra columns are ignored; repeated rows are each judged. An empty table
 gives an empty result.
