@@ -162,11 +162,12 @@ def _sample(rows: DataFrame, sample: int, sample_bytes: int) -> DataFrame:
     if not sizes:
         return rows.select("lang", "text").limit(0)
     size = max(20, sample // len(sizes))
-    cuts = [(r["lang"], r["n"] == 0, int(min(1.0, (3 * size + 100) / max(1, r["n"] or r["all"])) * 1_000_003)) for r in sizes]
-    cuts = rows.sparkSession.createDataFrame(cuts, "lang string, long boolean, cut int")
+    cut = {r["lang"]: int(min(1.0, (3 * size + 100) / max(1, r["n"] or r["all"])) * 1_000_003) for r in sizes}
+    of = lambda values: F.try_element_at(F.create_map(*(F.lit(x) for pair in values.items() for x in pair)), F.col("lang"))
     # about three times as many rows as are wanted are left, however large the table; equal ones of them are put together first
-    rows = rows.withColumn("h", F.pmod(F.xxhash64(F.col("id").cast("string"), "t"), F.lit(1_000_003))).join(cuts, "lang")
-    rows = rows.where((F.col("short") | F.col("long")) & (F.col("h") <= F.col("cut"))).select("lang", "h", "id", "t", "text").dropDuplicates(["lang", "id", "t"])
+    rows = rows.withColumn("h", F.pmod(F.xxhash64(F.col("id").cast("string"), "t"), F.lit(1_000_003)))
+    wanted = (F.col("h") <= of(cut)) & (F.col("short") | of({r["lang"]: r["n"] == 0 for r in sizes}))
+    rows = rows.where(wanted).select("lang", "h", "id", "t", "text").dropDuplicates(["lang", "id", "t"])
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "t", "id"))
     return rows.withColumn("place", place).where(F.col("place") <= size).orderBy("lang", "place").select("lang", "text")
 
@@ -193,6 +194,7 @@ def predict_language(
     tune(spark)
     bags = [(r[0], np.frombuffer(r[1], np.uint16 if buckets <= 1 << 16 else np.uint32), np.frombuffer(r[2], np.float32)) for r in _sample(labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id")), sample, sample_bytes).mapInArrow(_bags(buckets), "lang string, rows binary, weights binary").collect()]
     model = Model(bags, buckets, dim=dim, epochs=epochs, rate=rate, reject=reject, seed=seed) if bags else None
+    del bags
     shared = spark.sparkContext.broadcast(model)
     docs, names, carried = carrying(docs, F.col(id_col).cast("long"), text_col, columns)
     return docs.mapInArrow(_predict(shared, buckets, carried), f"doc_id long, {names}lang_pred string, score double, rejected boolean")
