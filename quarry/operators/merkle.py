@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EMPTY = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
@@ -25,33 +25,33 @@ def _folded(nodes: Column, levels: Column) -> Column:
 def segment_roots(df: DataFrame, segment: str, key: str, value: str, scratch: str, *, depth: int = 12) -> DataFrame:
     """(segment, root): the root over each segment's leaves in the order of keys; an odd last node pairs with itself.
 
-    Leaves are numbered within the parts of a range partitioning by segment and key, shifted by the counts of the
-    parts and segments before them. Then each round folds aligned runs of 2 ** depth nodes, so a segment of a
-    billion rows takes three rounds and no task holds more than a run. Each round is written.
+    Leaves lie in the parts of a range partitioning by segment and key. A part's leaves of a segment are numbered from
+    the count of that segment's leaves in the parts before: one row a segment and part tells it, so that a large
+    segment is spread over as many tasks as parts. Then each round folds aligned runs of 2 ** depth nodes, dealt by
+    run, so a segment of a billion rows takes three rounds. Nodes are kept as 32 bytes; each round is written.
     """
     spark = df.sparkSession
-    leaves = df.select(F.col(segment).alias("s"), F.col(key).alias("k"), leaf(F.col(key), F.col(value)).alias("h"))
+    leaves = df.select(F.col(segment).alias("s"), F.col(key).alias("k"), F.unhex(leaf(F.col(key), F.col(value))).alias("h"))
     leaves = leaves.repartitionByRange("s", "k").sortWithinPartitions("s", "k")
     # the id's low 33 bits number the rows of a partition
     parts = leaves.select("s", "h", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("m"))
     parts.write.mode("overwrite").parquet(f"{scratch}/leaves")
     rows = spark.read.parquet(f"{scratch}/leaves")
-    counts = sorted((r["p"], r["n"]) for r in rows.groupBy("p").agg(F.count("*").alias("n")).collect())  # one row a partition
-    shift, total = [], 0
-    for p, n in counts:
-        shift.append((p, total))
-        total += n
-    rows = rows.join(spark.createDataFrame(shift, "p int, shift long"), "p").select("s", (F.col("m") + F.col("shift")).alias("i"), "h")
-    sizes = rows.groupBy(F.col("s").alias("z")).agg(F.min("i").alias("start"), F.count("*").alias("n"))
-    rows = rows.join(sizes, F.col("s").eqNullSafe(F.col("z"))).select("s", (F.col("i") - F.col("start")).alias("i"), "n", "h")
-    most, number = sizes.agg(F.max("n")).first()[0] or 0, 0
+    pieces = rows.groupBy(F.col("s").alias("z"), F.col("p").alias("q")).agg(F.min("m").alias("first"), F.count("*").alias("n"))
+    pieces = pieces.withColumn("end", F.sum("n").over(Window.partitionBy("z").orderBy("q").rowsBetween(Window.unboundedPreceding, 0)))
+    # written, so that the join knows how small it is
+    pieces.select("z", "q", "end", (F.col("end") - F.col("n") - F.col("first")).alias("shift")).write.mode("overwrite").parquet(f"{scratch}/pieces")
+    pieces = spark.read.parquet(f"{scratch}/pieces")
+    most, number = pieces.agg(F.max("end")).first()[0] or 0, 0
+    rows = rows.join(pieces, F.col("s").eqNullSafe(F.col("z")) & (F.col("p") == F.col("q"))).select("s", (F.col("m") + F.col("shift")).alias("i"), "h")
     while most > 1:
-        runs = rows.groupBy("s", F.shiftright("i", depth).alias("i")).agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("i", "h"))).alias("l"))
-        levels = F.least(F.lit(depth), F.ceil(F.log2("n")).cast("int"))
-        runs = runs.select("s", "i", F.ceil(F.col("n") / (1 << depth)).cast("long").alias("n"), _folded(F.transform("l", lambda x: x["h"]), levels).alias("h"))
+        runs = rows.groupBy("s", F.shiftright("i", depth).alias("i")).agg(F.array_sort(F.collect_list(F.struct("i", "h"))).alias("l"))
+        # a run that isn't the first has others beside it, so it goes all the way up
+        levels = F.when(F.col("i") > 0, F.lit(depth)).otherwise(F.least(F.lit(depth), F.ceil(F.log2(F.size("l"))).cast("int")))
+        runs = runs.select("s", "i", F.unhex(_folded(F.transform("l", lambda x: F.lower(F.hex(x["h"]))), levels)).alias("h"))
         runs.write.mode("overwrite").parquet(f"{scratch}/round-{number}")
         rows, most, number = spark.read.parquet(f"{scratch}/round-{number}"), -(-most // (1 << depth)), number + 1
-    return rows.select(F.col("s").alias(segment), F.col("h").alias("root"))
+    return rows.select(F.col("s").alias(segment), F.lower(F.hex("h")).alias("root"))
 
 
 def root(spark: SparkSession, df: DataFrame, key: str, value: str, scratch: str, *, depth: int = 12) -> str:

@@ -87,6 +87,41 @@ def test_merkle_root(spark, root, n):
     assert got == {s: fold(x) for s, x in parts.items() if x}
 
 
+def most_read(spark, group, run):
+    """The most rows that one task of run() got from shuffles."""
+    sc = spark.sparkContext
+    sc.setJobGroup(group, "")
+    run()
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    tracker, store = sc.statusTracker(), sc._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    tasks = [x.apply(i) for s in stages for x in [store.taskList(s, 0, 1000)] for i in range(x.size())]
+    return max(x.taskMetrics().get().shuffleReadMetrics().recordsRead() for x in tasks)
+
+
+def test_merkle_spreads_a_segment_over_tasks(spark, root):
+    n = 4000
+    df = spark.range(n).select("id", F.concat(F.lit("v"), "id").alias("v")).withColumn("s", F.when(F.col("id") % 100 == 7, F.col("id")))
+    many = {r: fold([f"{i}:v{i}" for i in range(n) if (i if i % 100 == 7 else None) == r]) for r in (None, *range(7, n, 100))}
+    # as for large tables: joins without broadcasts, partitions that aren't merged
+    large = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in large}
+    got = []
+    try:
+        for k, v in large.items():
+            spark.conf.set(k, v)
+        most = [
+            most_read(spark, "one", lambda: got.append(merkle.root(spark, df, "id", "v", f"{root}/one", depth=4))),
+            most_read(spark, "many", lambda: got.append(merkle.segment_roots(df, "s", "id", "v", f"{root}/many", depth=4).collect())),
+        ]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert max(most) < 0.6 * n, most
+    assert got[0] == fold([f"{i}:v{i}" for i in range(n)]) and dict(map(tuple, got[1])) == many
+
+
 def test_merkle_difference(spark):
     a = spark.createDataFrame([("k1", "v"), ("k2", "v")], "k string, v string")
     assert [r["k"] for r in merkle.differing_keys(a, a.where("k = 'k1'"), "k", "v").collect()] == ["k2"]
